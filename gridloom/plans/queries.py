@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import problems
+
+QUERIES: dict = {**problems.QUERIES}
+SQL: dict = {**problems.SQL}
