@@ -25,8 +25,11 @@ def current_readings(drops: DataFrame, spread_by: list[str], keep: list[str] = [
     rows = drops.select("run_id", clean_net("net_name").alias("net_name"), "node", "ir_drop", "ingested_at", "drop_id", *keep)
     rows = rows.dropna(subset=key)
     rest = [k for k in key if k not in spread_by]
-    rows = with_salt(rows, spread_by, rest, hot_keys(rows.select(*spread_by), spread_by, min_rows))
-    w = Window.partitionBy(*spread_by, "_salt", *rest).orderBy(F.desc_nulls_last("ingested_at"), F.desc_nulls_last("drop_id"), F.desc_nulls_last("ir_drop"))
-    latest = rows.repartition(*spread_by, "_salt").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    hot = hot_keys(rows.select(*spread_by), spread_by, min_rows)
+    place = [*spread_by, "_salt"] if hot is not None else spread_by
+    rows = with_salt(rows, spread_by, rest, hot) if hot is not None else rows
+    w = Window.partitionBy(*place, *rest).orderBy(F.desc_nulls_last("ingested_at"), F.desc_nulls_last("drop_id"), F.desc_nulls_last("ir_drop"))
+    latest = rows.repartition(*place).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     drop = F.col("ir_drop")
-    return latest.filter(drop.isNotNull() & ~F.isnan(drop)).select(*spread_by, "_salt", *rest, (drop + F.lit(0.0)).alias("ir_drop"), *keep)
+    salt = F.col("_salt") if hot is not None else F.lit(0)
+    return latest.filter(drop.isNotNull() & ~F.isnan(drop)).select(*spread_by, salt.alias("_salt"), *rest, (drop + F.lit(0.0)).alias("ir_drop"), *keep)
