@@ -34,9 +34,9 @@ def _permissive(lines: DataFrame) -> DataFrame:
     parts = F.split(raw, '"', -1)
     masked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit("\x01"))), '"')
     joined = F.regexp_replace(masked, r"[ \t]+(?=[^()]*\))", ",")
-    cut = F.regexp_replace(F.btrim(joined, F.lit(" \t")), r"(?s)[ \t]\*(?:[ \t].*)?$", "")
+    cut = F.regexp_replace(F.btrim(joined, F.lit(" \t")), r"(?s)[ \t]\*(?:[ \t].*)?\z", "")
     tabbed = F.regexp_replace(F.btrim(cut, F.lit(" \t")), r"[ \t]+", "\t")
-    headed = F.regexp_replace(tabbed, r"(?s)^([^\t]+\t[^\t]+\t[^\t]+\t[^\t]+)\t(.*)$", "$1\x02$2")
+    headed = F.regexp_replace(tabbed, r"(?s)^([^\t]+\t[^\t]+\t[^\t]+\t[^\t]+)\t(.*)\z", "$1\x02$2")
     quoted = lines.withColumn("_quotes", F.size(parts) - 1).withColumn("_t", F.when(F.col("kind") == "sp", headed).otherwise(tabbed))
     head = F.element_at(F.split("_t", "\x02", -1), 1)
     rows = quoted.withColumn("_ckt", F.when(F.col("kind") != "nd", _csv(head, "name string, u string, v string, value string")))
@@ -44,17 +44,17 @@ def _permissive(lines: DataFrame) -> DataFrame:
     rest = F.when((F.col("kind") == "sp") & F.col("_t").contains("\x02"), F.split(F.element_at(F.split("_t", "\x02", -1), 2), "\t", -1)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("_rest", rest)
     c, d = F.col("_ckt"), F.col("_nd")
-    whole = lambda pattern: f"^(?:{pattern})$"
+    whole = lambda pattern: f"^(?:{pattern})\\z"
     items = lambda o: F.split(F.btrim(F.regexp_extract(o, r"(?s)\((.*)\)", 1), F.lit(",")), ",+", -1)
     numbers = lambda o: F.forall(items(o), lambda x: x.rlike(whole(VALUE)))
     option = lambda o: (
-        o.rlike(f"(?i)^static_value={VALUE}$") | o.rlike('(?i)^inst="\x01"$')
-        | (o.rlike(r"(?i)^pulse\([^()]*\)$") & (F.size(items(o)) == 7) & numbers(o))
-        | (o.rlike(r"(?i)^pwl\([^()]*\)$") & (F.size(items(o)) % 2 == 0) & numbers(o))
+        o.rlike(f"(?i)^static_value={VALUE}\\z") | o.rlike('(?i)^inst="\x01"\\z')
+        | (o.rlike(r"(?i)^pulse\([^()]*\)\z") & (F.size(items(o)) == 7) & numbers(o))
+        | (o.rlike(r"(?i)^pwl\([^()]*\)\z") & (F.size(items(o)) % 2 == 0) & numbers(o))
     )
     element = c["_corrupt"].isNull() & c["u"].rlike(whole(NODE)) & c["v"].rlike(whole(NODE)) & c["value"].rlike(whole(VALUE))
-    ckt = element & (F.col("_quotes") == 0) & c["name"].rlike(r"^[rRcClL][^()]*$") & ~c["value"].startswith("-")
-    sp = element & F.col("_quotes").isin(0, 2) & c["name"].rlike(r'^[iI][^()"]*$') & F.forall("_rest", option)
+    ckt = element & (F.col("_quotes") == 0) & c["name"].rlike(r"^[rRcClL][^()]*\z") & ~c["value"].startswith("-")
+    sp = element & F.col("_quotes").isin(0, 2) & c["name"].rlike(r'^[iI][^()"]*\z') & F.forall("_rest", option)
     nd = d["_corrupt"].isNull() & (F.col("_quotes") == 0) & d["node"].rlike(whole(NODE)) & d["net"].rlike(whole(NET))
     for x in "abcd":
         nd = nd & d[x].rlike(whole(VALUE))
