@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.readings import current_readings
 from ..session import table
+from .corpus_ids import decode_corpus, encode_corpus, tokenizer_path
 from .islands import hash_to_min
+from .packing import pack
 from .percentiles import multi_select
+from .subjects import subjects_of
 from .top_n import merge_runs, sorted_runs
 
 
@@ -44,7 +47,34 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("net_name", "layer", "pct", F.floor(F.log(F.col("value") * 1000000) / F.log(F.lit(1.1))).cast("int").alias("drop_bin"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found)}
+def _ranks(spark: SparkSession) -> str:
+    return f"{tokenizer_path(spark)}/byte_bpe_50k.tiktoken"
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as its list of token ids by byte_bpe_50k; an empty and a NULL text have the empty list."""
+    return encode_corpus(table(spark, sf_dir, "documents"), _ranks(spark))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip: every text again from its ids."""
+    return decode_corpus(p6_ids(spark, sf_dir), _ranks(spark))
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put into the context windows of each capacity."""
+    sizes = encode_corpus(table(spark, sf_dir, "documents"), _ranks(spark), counts_only=True)
+    windows = [(r.window_id, r.capacity_tokens) for r in table(spark, sf_dir, "context_windows").select("window_id", "capacity_tokens").collect()]
+    return pack(sizes, windows)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects on which each page has a paragraph."""
+    names = [r.subject for r in table(spark, sf_dir, "subjects").orderBy("subject_id").collect()]
+    return subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), names)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_ids, p6_decoded, p7_windows, p8_found)}
 
 _RULE_R = """
   r0 AS (SELECT *, upper(trim(net_name)) AS net FROM solve_drops),
@@ -53,6 +83,7 @@ _RULE_R = """
   r AS (SELECT run_id, net, node, layer, ir_drop FROM r1 WHERE rn = 1 AND ir_drop IS NOT NULL AND NOT isnan(ir_drop))"""
 
 SQL = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p1_found": f"""WITH {_RULE_R}
 SELECT run_id, net AS net_name, CAST(k AS INTEGER) AS drop_rank, node
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id, net ORDER BY ir_drop DESC, node) AS k FROM r) WHERE k <= 10""",
