@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, q_sources  # noqa: F401
+from .registry import QUERIES as _MORE, SQL as _SQL
 
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict = {**problems.SQL}
+QUERIES: dict = {**problems.QUERIES, **_MORE}
+SQL: dict = {**problems.SQL, **_SQL}

@@ -29,8 +29,8 @@ def layered_grid(specs: DataFrame, layers: int = 3) -> DataFrame:
 def uniform_stimulus(loads: DataFrame, total_power: float, vdd: float, percent: int) -> DataFrame:
     """A share of the loads, picked by a hash of their key so that the pick is the same in every run; power / vdd is split evenly."""
     picked = loads.filter(F.pmod(F.col("key") * 7919 + 13, F.lit(100)) < percent)
-    n = picked.agg(F.count(F.lit(1)).alias("n"))
-    return picked.join(F.broadcast(n)).select("key", (F.lit(total_power / vdd) / F.col("n")).alias("amps"))
+    n = picked.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return picked.select("key", (F.lit(total_power / vdd) / n).alias("amps"))
 
 
 def block_patterns(nodes: DataFrame, patterns: int, total: float) -> DataFrame:
