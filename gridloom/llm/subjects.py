@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import Scratch
@@ -66,7 +67,7 @@ class Batch:
     def __init__(self, b: pa.RecordBatch, index: np.ndarray):
         lengths, terms = b.column("lengths"), b.column("terms")
         self.n = b.num_rows
-        per_doc = pa.compute.list_value_length(lengths).to_numpy(zero_copy_only=False)
+        per_doc = pc.list_value_length(lengths).to_numpy(zero_copy_only=False)
         size = lengths.flatten().to_numpy(zero_copy_only=False)
         flat = index[terms.flatten().to_numpy(zero_copy_only=False)]
         self.doc = np.repeat(np.arange(self.n), per_doc)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -81,10 +82,10 @@ def merge_runs(runs: DataFrame, group: list[str], n: int, rank: str = "rank") ->
             col = b.column(b.num_columns - 1)
             flat = col.flatten()
             entries = flat.flatten()
-            score = pa.compute.negate(entries.field("score")).to_pylist()
+            score = pc.negate(entries.field("score")).to_pylist()
             items = entries.field("item").to_pylist()
-            outer = [0, *pa.compute.list_value_length(col).to_pylist()]
-            inner = [0, *pa.compute.list_value_length(flat).to_pylist()]
+            outer = [0, *pc.list_value_length(col).to_pylist()]
+            inner = [0, *pc.list_value_length(flat).to_pylist()]
             lists, p = [], 0
             for m in inner[1:]:
                 lists.append(list(zip(score[p : p + m], items[p : p + m])))
