@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def solve_tree(edges: DataFrame, levels: int = 3) -> DataFrame:
+def solve_tree(edges: DataFrame, levels: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """node, parent, level, r, i, drop of a tree network: edges carry the loads below them, drops add up from the pads.
 
+    ``by`` names columns that keep stimuli, times or nets apart; all of them are solved in the same joins.
+
     ``edges``: node, parent, level (1 next to the pads), r, amps. A sweep is one grouped sum and one join a level, so
     no matrix is made; whole numbers stay exact.
     """
     currents: dict[int, DataFrame] = {}
     for level in range(levels, 0, -1):
-        own = edges.filter(F.col("level") == level).select("node", "parent", "level", "r", "amps")
+        own = edges.filter(F.col("level") == level).select(*by, "node", "parent", "level", "r", "amps")
         if level < levels:
-            below = currents[level + 1].groupBy(F.col("parent").alias("node")).agg(F.sum("i").alias("_i"))
-            own = own.join(below, "node", "left")
+            below = currents[level + 1].groupBy(*by, F.col("parent").alias("node")).agg(F.sum("i").alias("_i"))
+            own = own.join(below, [*by, "node"], "left")
         i = F.col("amps") if level == levels else F.col("amps") + F.coalesce("_i", F.lit(0))
-        currents[level] = own.select("node", "parent", "level", "r", i.alias("i"))
+        currents[level] = own.select(*by, "node", "parent", "level", "r", i.alias("i"))
     out, above = None, None
     for level in range(1, levels + 1):
         rows = currents[level]
         drop = F.col("r") * F.col("i")
         if above is not None:
-            rows = rows.join(above.select(F.col("node").alias("parent"), F.col("drop").alias("_d")), "parent")
+            rows = rows.join(above.select(*by, F.col("node").alias("parent"), F.col("drop").alias("_d")), [*by, "parent"])
             drop = F.col("_d") + drop
-        above = rows.select("node", "parent", "level", "r", "i", drop.alias("drop"))
+        above = rows.select(*by, "node", "parent", "level", "r", "i", drop.alias("drop"))
         out = above if out is None else out.unionByName(above)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems, q_graph, q_relational, q_sources  # noqa: F401
+from . import problems, q_graph, q_relational, q_solve, q_sources  # noqa: F401
 from .registry import QUERIES as _MORE, SQL as _SQL
 
 QUERIES: dict = {**problems.QUERIES, **_MORE}
