@@ -85,14 +85,15 @@ class Batch:
         return row, term, w / np.maximum(raw, 1.0)[row], raw
 
 
-def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` added up by ``at``."""
-    out = np.zeros((n, values.shape[1]))
+def _sums(at: np.ndarray, values: np.ndarray, n: int, in_order: bool = False) -> np.ndarray:
+    """Rows of ``values`` added up by ``at``; ``in_order`` says that ``at`` is sorted."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
     if len(at):
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        if not in_order:
+            order = np.argsort(at, kind="stable")
+            at, values = at[order], values[order]
         start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out[at[start]] = np.add.reduceat(values[order], start, axis=0)
+        out[at[start]] = np.add.reduceat(values, start, axis=0)
     return out
 
 
@@ -152,7 +153,7 @@ class Model:
     def embed(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors of the paragraphs, their weight (at most 1), and how many weighted terms they have."""
         row, term, value, raw = batch.weighted(self.weight)
-        x = _sums(row, value[:, None].astype(np.float32) * self.vectors[term], batch.rows)
+        x = _sums(row, value[:, None].astype(np.float32) * self.vectors[term], batch.rows, True)
         return _unit(x), np.minimum(1, raw), np.bincount(row, minlength=batch.rows)
 
     def cosines(self, x: np.ndarray) -> np.ndarray:
@@ -162,32 +163,46 @@ class Model:
         return s
 
 
-def decompose(rows: DataFrame, index: np.ndarray, weight: np.ndarray, balance: dict[str | None, float], seed: int = 7) -> np.ndarray:
-    """The first RANK right singular vectors of the documents' weighted terms, by subspace iteration over all documents.
+def document_vectors(rows: DataFrame, index: np.ndarray, weight: np.ndarray, balance: dict[str | None, float]) -> DataFrame:
+    """``terms`` (places) and ``values`` of each document: the sum of its paragraphs' vectors, of a length that balances its language.
 
-    ``balance`` weighs a document by its language, so that the subjects of a rare language have places of their own.
+    A document weighs the less the more documents its language has, so the subjects of a rare language have places of
+    their own in the decomposition.
     """
-    n, width, sc = len(weight), min(RANK + EXTRA, len(weight)), rows.sparkSession.sparkContext
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
-    weight = weight.astype(np.float32)
-    for _ in range(PASSES):
-        shared = sc.broadcast((index, weight, q.astype(np.float32)))
+    shared, n = rows.sparkSession.sparkContext.broadcast((index, weight.astype(np.float32))), len(weight)
 
-        def part(b: pa.RecordBatch) -> np.ndarray:
-            index, weight, q = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, weight = shared.value
+        for b in batches:
             batch = Batch(b, index)
             row, term, value, _ = batch.weighted(weight)
-            doc = batch.doc[row]
-            key, at = np.unique(doc.astype(np.int64) * n + term, return_inverse=True)
-            value = np.bincount(at, value, len(key)).astype(np.float32)
-            doc, term = key // n, key % n
-            length = np.sqrt(np.bincount(doc, value * value, batch.n))
+            key, at = np.unique(batch.doc[row].astype(np.int64) * n + term, return_inverse=True)
+            value = np.bincount(at, value, len(key))
+            doc, term = key // n, (key % n).astype(np.int32)
             own = np.array([balance.get(x, balance[None]) for x in b.column("lang").to_pylist()])
-            value = value * (own / np.maximum(length, 1e-9))[doc].astype(np.float32)
-            y = _sums(doc, value[:, None] * q[term], batch.n).astype(np.float32)
-            return _sums(term, value[:, None] * y[doc], n)
+            value *= (own / np.maximum(np.sqrt(np.bincount(doc, value * value, batch.n)), 1e-9))[doc]
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=batch.n))], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(term)), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))], names=["terms", "values"])
+
+    return rows.mapInArrow(run, "terms array<int>, values array<float>")
 
-        g = total(rows, (n, width), part)
+
+def decompose(vectors: DataFrame, n: int, seed: int = 7) -> np.ndarray:
+    """The first RANK right singular vectors of the documents' vectors, by subspace iteration over all of them."""
+    width, sc = min(RANK + EXTRA, n), vectors.sparkSession.sparkContext
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    for _ in range(PASSES):
+        shared = sc.broadcast(q.astype(np.float32))
+
+        def part(b: pa.RecordBatch) -> np.ndarray:
+            q = shared.value
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
+            term = b.column("terms").flatten().to_numpy(zero_copy_only=False)
+            value = b.column("values").flatten().to_numpy(zero_copy_only=False)[:, None]
+            y = _sums(doc, value * q[term], b.num_rows, True)
+            return _sums(term, value * y[doc], n)
+
+        g = total(vectors, (n, width), part)
         shared.unpersist()
         ritz = q.T @ g
         last, q = q, np.linalg.qr(g)[0]
@@ -249,7 +264,9 @@ def subjects_of(docs: DataFrame, labels: DataFrame, names: list[str], rounds: in
     for turn in range(rounds):
         weight = rarity * concentration(counts)
         weight[weight < 0.15 * np.quantile(weight, 0.9)] = 0
-        model = Model(index, weight, decompose(rows, index, weight, balance))
+        vectors = scratch.write(document_vectors(rows, index, weight, balance))
+        model = Model(index, weight, decompose(vectors, n))
+        scratch.drop(vectors)
 
         def seeds(b: pa.RecordBatch) -> np.ndarray:
             m = shared.value
