@@ -75,10 +75,12 @@ def multi_select(data: DataFrame, group: list[str], value: str, percents: list[i
     The result is exact: group, pct INT, value DOUBLE. NULL and NaN values are no values; rows with a NULL group
     column belong to no group. An empty table gives an empty result.
     """
-    spark, scratch = data.sparkSession, Scratch(data.sparkSession)
-    kinds = ", ".join(f"`{c}` {data.schema[c].dataType.simpleString()}" for c in group)
+    spark, scratch, names = data.sparkSession, Scratch(data.sparkSession), group
     rows = data.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value))).dropna(subset=group)
-    rows = scratch.write(rows.select(*group, (F.col(value).cast("double") + F.lit(0.0)).alias("value")))
+    rows = rows.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(names)], (F.col(value).cast("double") + F.lit(0.0)).alias("value"))
+    group = rows.columns[:-1]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group)
+    rows = scratch.write(rows)
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     pct = F.explode(F.array(*[F.lit(p).cast("int") for p in percents])).alias("pct")
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("pct") / F.lit(100))).cast("long")
@@ -127,9 +129,7 @@ def multi_select(data: DataFrame, group: list[str], value: str, percents: list[i
             old, rows = rows, scratch.write(rows.join(_small(open_, left), keys).filter(inside).select(*group, "pct", "value"))
             scratch.drop(old)
             keys = [*group, "pct"]
-    if not found:
-        return spark.createDataFrame([], f"{kinds}, pct int, value double")
-    out = found[0]
+    out = found[0] if found else spark.createDataFrame([], f"{kinds}, pct int, value double")
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.select(*[F.col(g).alias(c) for g, c in zip(group, names)], "pct", "value")

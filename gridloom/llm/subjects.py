@@ -238,7 +238,7 @@ def subjects_of(docs: DataFrame, labels: DataFrame, names: list[str], rounds: in
     spoken = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = [r.lang for r in labelled.filter("lang IS NOT NULL").groupBy("lang").count().filter(F.col("count") >= k).orderBy("lang").collect()]
     seen = np.flatnonzero(df >= MIN_PARAGRAPHS)
-    if not len(seen) or not langs:
+    if not len(seen) or labelled.isEmpty():
         return empty
     index = np.full(DIMS, -1, np.int32)
     index[seen] = np.arange(len(seen))
@@ -246,8 +246,11 @@ def subjects_of(docs: DataFrame, labels: DataFrame, names: list[str], rounds: in
     rarity = np.log((df.sum() + 1) / (df[seen] + 1))
     balance = {x: 1 / np.sqrt(c) for x, c in spoken.items()}
     balance[None] = 0.5 * balance.get(None, 1.0)
-    place = {x: i for i, x in enumerate(langs)}
-    slots = len(langs) * k
+    # Languages with fewer labelled pages than classes share a group of seeds; a page without a language gives seeds only if all are in it.
+    place, groups = {x: i for i, x in enumerate(langs)}, len(langs) + 1
+    if langs:
+        place[None] = -1
+    slots = groups * k
     bits = 1 << np.arange(k)
 
     def allowed(b: pa.RecordBatch, batch: Batch) -> np.ndarray:
@@ -273,7 +276,7 @@ def subjects_of(docs: DataFrame, labels: DataFrame, names: list[str], rounds: in
             batch = Batch(b, m.index)
             x, heavy, _ = m.embed(batch)
             share = allowed(b, batch)
-            lang = np.array([place.get(c, -1) for c in b.column("lang").to_pylist()])[batch.doc]
+            lang = np.array([place.get(c, groups - 1) for c in b.column("lang").to_pylist()])[batch.doc]
             r, c = np.nonzero(share & (lang >= 0)[:, None])
             return _sums(lang[r] * k + c, x[r] * (heavy[r] / share.sum(1)[r])[:, None], slots)
 
@@ -284,7 +287,7 @@ def subjects_of(docs: DataFrame, labels: DataFrame, names: list[str], rounds: in
                 x, heavy, _ = m.embed(batch)
                 s = m.cosines(x)
                 if own:
-                    s[~np.tile(allowed(b, batch), (1, len(langs)))] = -1
+                    s[~np.tile(allowed(b, batch), (1, groups))] = -1
                 at, best = s.argmax(1), s.max(1)
                 ok = best > (MOVES / 2 if own else MOVES)
                 return _sums(at[ok], x[ok] * heavy[ok, None], slots)
