@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import aggregates as ag, linear as la, relational as rel, solvers as so, tree as tr
+from ..functions.elements import conductance
 from ..operators.graph import components
+from ..operators.model import network_drop
 from ..sources.sinks import as_json, worst_report
 from ..streaming import monitor
 from .registry import Tables, query
@@ -371,3 +373,16 @@ def streamed_metrics(t: Tables) -> DataFrame:
 @query("""SELECT run_id, '{"run_id":' || run_id || ',"run_kind":"' || run_kind || '","n_steps":' || n_steps || '}' AS json FROM solve_runs""")
 def run_json(t: Tables) -> DataFrame:
     return as_json(t.solve_runs.select("run_id", "run_kind", "n_steps"), "run_id")
+
+
+@query()
+def network_ir_drop(t: Tables) -> DataFrame:
+    """Every design's network solved: resistors in kOhm, loads in mA, so drops are in V; nodes of floating islands are left out."""
+    once = rel.elements_once(t.grid_elements)
+    ends = rel.with_ends(once, t.grid_nodes, "left").withColumn("kind", F.upper(F.trim("elem_type")))
+    name = lambda c, raw: F.when(F.ltrim(F.col(raw), F.lit("*")) == "0", F.lit("0")).otherwise(F.col(c).cast("string"))
+    edges = ends.filter("kind = 'R'").select(name("a", "u").alias("u"), name("b", "v").alias("v"), conductance(F.col("elem_value")).alias("g"))
+    loads = ends.filter("kind = 'I'").select(F.coalesce("a", "b").cast("string").alias("node"), F.abs("elem_value").alias("amps")).dropna()
+    pads = t.grid_nodes.filter("is_pad").select(F.col("node_id").cast("string").alias("node"))
+    solved = network_drop(edges, pads, loads, 0.0)
+    return solved.select(F.col("node").cast("bigint").alias("node_id"), F.col("island").cast("bigint").alias("island"), F.round("drop", 9).alias("drop"))
