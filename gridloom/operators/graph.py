@@ -12,13 +12,19 @@ def both_ways(edges: DataFrame, *payload: str) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, component: the least node that is linked to it. Labels go to neighbours, then each label takes its own label (pointer jumping), until none changes."""
+    """node, component: the least node that is linked to it.
+
+    Each round a node hears its neighbours' labels and passes the least one to the node that its own label names
+    (hooking); then each label takes its own label (pointer jumping). So long chains need few rounds; it ends when no
+    label changes.
+    """
     scratch = Scratch(edges.sparkSession)
     links = scratch.write(both_ways(edges.filter("u <> v")).distinct())
     labels = scratch.write(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
     for _ in range(max_rounds):
-        heard = links.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        lower = labels.join(heard.withColumnRenamed("u", "node"), "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
+        heard = links.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("m")).withColumnRenamed("u", "node")
+        told = labels.join(heard, "node").select(F.explode(F.array(F.struct("node", "m"), F.struct(F.col("component").alias("node"), "m"))).alias("x")).select("x.*").groupBy("node").agg(F.min("m").alias("m"))
+        lower = labels.join(told, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
         moved = lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "was")
         new = scratch.write(moved)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import Scratch
 
 #: Unknowns of a block that is solved by a dense kernel; larger ones take the iteration.
-DENSE = 2_000
+DENSE = 3_000
 
 
 def stamp(edges: DataFrame, ground: str = "0") -> DataFrame:
@@ -46,30 +46,32 @@ def jacobi(matrix: DataFrame, rhs: DataFrame, sweeps: int) -> DataFrame:
 def conjugate_gradients(matrix: DataFrame, rhs: DataFrame, tolerance: float = 1e-8, max_steps: int = 500) -> tuple[DataFrame, list[float]]:
     """Diagonally preconditioned conjugate gradients over rows: (node, x) and the relative residuals; raises if it doesn't converge.
 
-    A step is one join of the matrix with the direction and two sums; the vectors are written every step, so a lost
-    executor costs one step at most.
+    A step is two jobs: the product of matrix and direction, and the new vectors; each is written, with its sums taken
+    on the way, so a lost executor costs one step at most.
     """
     scratch = Scratch(matrix.sparkSession)
     m = scratch.write(matrix)
     diagonal = m.filter("i = j").select(F.col("i").alias("node"), F.col("g").alias("d"))
     z = F.col("r") / F.col("d")
-    state = scratch.write(rhs.join(diagonal, "node").select("node", "d", F.lit(0.0).alias("x"), F.col("b").cast("double").alias("r"), (F.col("b") / F.col("d")).alias("p")))
-    rz, norm = state.agg(F.sum(F.col("r") * z), F.sqrt(F.sum(F.col("r") ** 2))).first()
+    size = F.sum(F.col("r") ** 2)
+    start = rhs.join(diagonal, "node").select("node", "d", F.lit(0.0).alias("x"), F.col("b").cast("double").alias("r"), (F.col("b") / F.col("d")).alias("p"))
+    state, (rz, norm) = scratch.write_and_sum(start, F.sum(F.col("r") * z), size)
     residuals: list[float] = []
     if not norm:
         return state.select("node", "x"), residuals
     for _ in range(max_steps):
-        q = scratch.write(state.join(multiply(m, state.select("node", F.col("p").alias("x"))), "node").withColumnRenamed("y", "q"))
-        alpha = rz / q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        stepped = q.select("node", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
-        new, left = stepped.agg(F.sum(F.col("r") * z), F.sqrt(F.sum(F.col("r") ** 2))).first()
-        residuals.append(left / norm)
-        nxt = scratch.write(stepped.withColumn("p", z + (new / rz) * F.col("p")))
-        scratch.drop(state)
+        q, (pq,) = scratch.write_and_sum(state.join(multiply(m, state.select("node", F.col("p").alias("x"))), "node").withColumnRenamed("y", "q"), F.sum(F.col("p") * F.col("q")))
+        alpha = rz / pq
+        r = F.col("r") - alpha * F.col("q")
+        # The next direction needs the new residual's sum; it is added when the direction is used.
+        stepped, (new, left) = scratch.write_and_sum(q.select("node", "d", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), "p"), F.sum(F.col("r") * z), size)
+        residuals.append((left / norm) ** 0.5)
         scratch.drop(q)
-        state, rz = nxt, new
+        scratch.drop(state)
+        state, last, rz = stepped.withColumn("p", z + (new / rz) * F.col("p")), stepped, new
         if residuals[-1] <= tolerance:
-            return state.select("node", "x"), residuals
+            return last.select("node", "x"), residuals
+        state._scratch_path = last._scratch_path
     raise RuntimeError(f"no convergence in {max_steps} steps, residual {residuals[-1]:.3g}")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write_and_sum(self, df: DataFrame, *sums: Column) -> tuple[DataFrame, list]:
+        """write(), with aggregates of what is written, computed in the same job."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *[c.alias(f"s{i}") for i, c in enumerate(sums)]))
+        return out, [seen.get[f"s{i}"] for i in range(len(sums))]
+
     def drop(self, df: DataFrame | None) -> None:
         """Deletes what write() returned, once nothing reads it any more."""
         path = getattr(df, "_scratch_path", None)

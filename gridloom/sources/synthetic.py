@@ -33,6 +33,14 @@ def uniform_stimulus(loads: DataFrame, total_power: float, vdd: float, percent:
     return picked.select("key", (F.lit(total_power / vdd) / n).alias("amps"))
 
 
+def gaussian_stimulus(loads: DataFrame, total_power: float, vdd: float, mean: float = 1.0, spread: float = 1.0, seed: int = 42) -> DataFrame:
+    """key, amps: power / vdd split over all loads by |N(mean, spread)| weights; the weights depend on seed and key only, not on the partitioning."""
+    uniform = lambda salt: (F.pmod(F.xxhash64("key", F.lit(seed), F.lit(salt)), F.lit(1_000_003)) + 1) / F.lit(1_000_005.0)
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    rows = loads.select("key", F.abs(mean + spread * normal).alias("w"))
+    return rows.select("key", (F.lit(total_power / vdd) * F.col("w") / rows.agg(F.sum("w")).scalar()).alias("amps"))
+
+
 def block_patterns(nodes: DataFrame, patterns: int, total: float) -> DataFrame:
     """block, pattern, node, amps: pattern 0 is uniform, the others weigh by a hash of node and pattern; each adds up to ``total``."""
     rows = nodes.select("block", "node", F.explode(F.sequence(F.lit(0), F.lit(patterns))).alias("pattern"))

@@ -35,6 +35,15 @@ def test_synthetic(spark):
     assert len(sums) == 9 and all(abs(r[2] - 5.0) < 1e-9 for r in sums)
 
 
+def test_gaussian_stimulus(spark):
+    loads = spark.range(2000).withColumnRenamed("id", "key")
+    a = {r.key: r.amps for r in synthetic.gaussian_stimulus(loads, 10.0, 2.0, 1.0, 0.5).collect()}
+    b = {r.key: r.amps for r in synthetic.gaussian_stimulus(loads.repartition(7), 10.0, 2.0, 1.0, 0.5).collect()}
+    assert abs(sum(a.values()) - 5.0) < 1e-9 and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    mean = 5.0 / 2000
+    assert 0.4 < (sum((x / mean - 1) ** 2 for x in a.values()) / 2000) ** 0.5 < 0.6
+
+
 def test_report_and_json(spark):
     s = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9)], "node string, drop bigint")
     assert [r.node for r in sinks.worst_report(s, 2).orderBy("place").collect()] == ["c", "a"]
