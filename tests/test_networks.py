@@ -152,3 +152,19 @@ def test_nulls_and_clashing_columns(spark):
     ends = rel.with_ends(once.drop("a"), n, "left")
     assert {(r.elem_id, r.a, r.b) for r in ends.collect()} == {(1, 7, 8), (2, None, None)}
     assert {r.kind for r in rel.typed_values(once).collect()} == {"R"}
+
+
+def test_as_of_and_nearest(spark):
+    r = random.Random(7)
+    points = {(k, t): float(r.randint(0, 9)) for k in ("a", "b") for t in r.sample(range(100), 12)}
+    times = [(k, t) for k in ("a", "b") for t in range(-5, 110, 3)] + [("c", 1), ("a", 7)]
+    got = tr.as_of(spark.createDataFrame([(k, t, v) for (k, t), v in points.items()], "k string, s bigint, v double"), spark.createDataFrame(times, "k string, t bigint"), "k", "s", "v", "t", 10.0)
+    want = []
+    for k, t in times:
+        own = sorted((x, v) for (kk, x), v in points.items() if kk == k)
+        want.append((k, t, float(np.interp(t, *zip(*own))) if own else None))
+    round_ = lambda rows: sorted((k, t, None if v is None else round(v, 9)) for k, t, v in rows)
+    assert round_(tuple(x) for x in got.collect()) == round_(want)
+    values, targets = [3.0, 7.0, 7.0, 50.0, 91.0], list(range(-20, 120, 5))
+    near = tr.nearest_value(spark.createDataFrame([(v,) for v in values], "x double"), spark.createDataFrame([(i, float(t)) for i, t in enumerate(targets)], "k int, x double"), "k", "x", 10.0)
+    assert {x.k: x.nearest for x in near.collect()} == {i: min(values, key=lambda v: (abs(v - t), v)) for i, t in enumerate(targets)}
