@@ -68,12 +68,13 @@ def regular_grid(readings: DataFrame, sources: DataFrame, hot: DataFrame | None
     summary = shards.select("source_id", "shard", F.element_at("entries", 1)["first"].alias("first"), F.element_at("entries", -1)["last"].alias("last"))
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_steps") - 1) / shard))).alias("shard")
     frame = grid.select("source_id", "t_start", "dt", "n_steps", numbers)
-    scan = Window.partitionBy("source_id").orderBy("shard")
+    # Both scans look back, the second in descending order: a frame that looks ahead would be summed anew for every row.
+    scan, back = (Window.partitionBy("source_id").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("shard"), F.desc("shard")))
     carries = frame.select("source_id", "shard").join(summary, ["source_id", "shard"], "left")
     carries = carries.select(
         "source_id", "shard",
-        F.last("last", True).over(scan.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", True).over(scan.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last("last", True).over(scan).alias("before"),
+        F.last("first", True).over(back).alias("after"),
     )
     whole = frame.join(shards, ["source_id", "shard"], "left").join(carries, ["source_id", "shard"])
     first = F.col("shard") * shard
