@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import layer_number
+from ..session import Scratch
 
 
 def layer_pair(a: Column, b: Column) -> Column:
@@ -76,3 +79,32 @@ def balanced_slabs(loads: DataFrame, key: str, axis: str, parts: int, buckets: i
     edge = big * (quota + 1)
     slab = F.when(F.col("at") < edge, F.floor(F.col("at") / (quota + 1))).otherwise(big + F.floor((F.col("at") - edge) / F.greatest(quota, F.lit(1))))
     return rows.select(key, axis, slab.cast("int").alias("slab"))
+
+
+def separated_worst(places: DataFrame, by: list[str], k: int, near: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """by, pick INT, node, x, y, drop: of each group the k worst nodes that stand apart, picked greedily.
+
+    Each pick is the greatest drop that is near none of the picks before it, equal drops by smaller node. ``near`` says
+    from |dx|, |dy| and the group's extent on both axes whether two nodes are near. Rows with a NULL place, drop, node or
+    group and NaN drops are left out; a group with fewer nodes apart gives fewer picks; repeated nodes are near each other.
+
+    A pick of all groups is one grouping, combined before its shuffle, and one join with a row a group; so it takes k
+    rounds, whatever the number of groups and however large one is.
+    """
+    scratch = Scratch(places.sparkSession)
+    rows = places.select(*by, "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("drop").cast("double").alias("drop")).dropna()
+    box = rows.groupBy(*by).agg((F.max("x") - F.min("x")).alias("_ex"), (F.max("y") - F.min("y")).alias("_ey"))
+    rest, picks = scratch.write(rows.join(box, by)), []
+    for n in range(1, k + 1):
+        best = rest.groupBy(*by).agg(F.min(F.struct((-F.col("drop")).alias("d"), "node", "x", "y")).alias("_p"))
+        best = scratch.write(best.select(*by, "_p.*"))
+        picks.append(best.select(*by, F.lit(n).alias("pick"), "node", "x", "y", (-F.col("d")).alias("drop")))
+        if n < k:
+            met = rest.join(best.select(*by, F.col("node").alias("_pn"), F.col("x").alias("_px"), F.col("y").alias("_py")), by)
+            close = near(F.abs(F.col("x") - F.col("_px")), F.abs(F.col("y") - F.col("_py")), F.col("_ex"), F.col("_ey")) | (F.col("node") == F.col("_pn"))
+            old, rest = rest, scratch.write(met.filter(~close).select(*rest.columns))
+            scratch.drop(old)
+    out = picks[0]
+    for p in picks[1:]:
+        out = out.unionByName(p)
+    return out

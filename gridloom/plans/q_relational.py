@@ -179,11 +179,11 @@ def knn_ports(t: Tables) -> DataFrame:
     return rel.nearest_in_cells(places, places.filter("node % 7 = 0"), 3, 5000)
 
 
-@query(f"""WITH {LATTICE}, w AS (SELECT node, x - 1500 AS x0, x + 1500 AS x1, y - 1500 AS y0, y + 1500 AS y1 FROM lattice WHERE node % 3 = 0)
+@query(f"""WITH {LATTICE}, w AS (SELECT node, x - 1500 AS x0, x + 1500 AS x1, y - 1500 AS y0, y + 1500 AS y1 FROM lattice)
 SELECT a.node AS a, b.node AS b FROM w a JOIN w b ON a.node < b.node AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
 def overlapping_windows(t: Tables) -> DataFrame:
     """Pairs of windows that overlap or touch; windows meet in cells of their own size."""
-    w = lattice(t).filter("node % 3 = 0").select("node", "x", "y")
+    w = lattice(t).select("node", "x", "y")
     cell = lambda c, d: F.floor(F.col(c) / 3000) + d
     near = F.sequence(F.lit(-1), F.lit(1))
     left = w.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))
@@ -556,9 +556,13 @@ def source_current_at_times(t: Tables) -> DataFrame:
     return rows.select("k", "t", F.round(F.lit(0.5) + _pulse_now(F.col("t")) + wave, 9).alias("amps"))
 
 
-@query("""WITH x AS (SELECT source_id, count(*) AS n FROM pwl_sources JOIN pwl_points USING (source_id) WHERE seq <= 6 GROUP BY 1) SELECT source_id, n, round(CASE WHEN n = 1 THEN 1.0 ELSE (0.5 * (n - 1) * (n - 1) + (n + 1 - n) * (n - 1) / 2) / n END, 9) AS average FROM x""")
+@query("""WITH x AS (SELECT source_id, CAST(floor(seq / 64) AS BIGINT) AS piece, count(*) AS n FROM pwl_sources JOIN pwl_points USING (source_id) WHERE seq IS NOT NULL GROUP BY ALL) SELECT source_id, piece, n, round(CASE WHEN n = 1 THEN 1.0 ELSE (0.5 * (n - 1) * (n - 1) + (n + 1 - n) * (n - 1) / 2) / n END, 9) AS average FROM x""")
 def pwl_averages(t: Tables) -> DataFrame:
-    """A ramp with a point for each delivery of a source, averaged over a period of as many seconds as points."""
-    n = t.pwl_points.filter("seq <= 6").groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).join(t.pwl_sources.select("source_id"), "source_id")
+    """A ramp with a point for each delivery of a piece of 64 points of a source, averaged over a period of as many seconds as deliveries.
+
+    Pieces bound the arrays, however many points a source has.
+    """
+    piece = F.floor(F.col("seq") / 64).alias("piece")
+    n = t.pwl_points.filter("seq IS NOT NULL").groupBy("source_id", piece).agg(F.count(F.lit(1)).alias("n")).join(t.pwl_sources.select("source_id"), "source_id")
     ramp = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("n")), lambda i: F.struct((i - 1).cast("double").alias("t"), F.when(F.col("n") == 1, 1.0).otherwise((i - 1).cast("double")).alias("v")))
-    return n.select("source_id", "n", F.round(pwl_average(ramp, F.col("n").cast("double")), 9).alias("average"))
+    return n.select("source_id", "piece", "n", F.round(pwl_average(ramp, F.col("n").cast("double")), 9).alias("average"))

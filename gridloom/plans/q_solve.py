@@ -332,18 +332,38 @@ def response_rank(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "rank int, value double, share double")
 
 
-@query(f"""WITH {LATTICE}, b AS (SELECT *, x // 8000 AS cx, y // 8000 AS cy FROM lattice), r AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY drop DESC, node) AS k FROM b),
-  c AS (SELECT node, x, y, drop, cx, cy FROM r WHERE k = 1)
-SELECT a.node, a.drop FROM c a WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.cx BETWEEN a.cx - 1 AND a.cx + 1 AND o.cy BETWEEN a.cy - 1 AND a.cy + 1 AND abs(o.x - a.x) < 8000 AND abs(o.y - a.y) < 8000 AND (o.drop > a.drop OR (o.drop = a.drop AND o.node < a.node)))""")
+_PLACES = """d AS (SELECT design_id, node, max(ir_drop) AS drop FROM solve_drops JOIN solve_runs USING (run_id) WHERE ir_drop IS NOT NULL AND NOT isnan(ir_drop) GROUP BY ALL),
+  places AS (SELECT design_id, layer_num, node, x, y, drop FROM d JOIN grid_nodes USING (design_id, node) WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
+def picks_sql(by: str, near: str, n: int) -> str:
+    """SQL of n greedy picks, one table a pick."""
+    names = by.split(", ")
+    filled = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    out = f"WITH {_PLACES}, r0 AS MATERIALIZED (SELECT {by}, node, x, y, drop, max(x) OVER g - min(x) OVER g AS ex, max(y) OVER g - min(y) OVER g AS ey FROM places WHERE {filled} WINDOW g AS (PARTITION BY {by}))"
+    for k in range(1, n + 1):
+        out += f",\n  p{k} AS MATERIALIZED (SELECT {by}, node, x, y, drop FROM r{k - 1} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY drop DESC, node) = 1)"
+        out += f", r{k} AS MATERIALIZED (SELECT r.* FROM r{k - 1} r JOIN p{k} p USING ({by}) WHERE NOT ({near} OR r.node = p.node))"
+    return out + "\n" + " UNION ALL ".join(f"SELECT {by}, {k} AS pick, node, x, y, drop FROM p{k}" for k in range(1, n + 1))
+
+
+def worst_places(t: Tables) -> DataFrame:
+    """design_id, layer_num, node, x, y, drop: the worst drop of each node over all runs of its design; combined before it meets the places."""
+    d = t.solve_drops.filter("ir_drop IS NOT NULL AND NOT isnan(ir_drop)").groupBy("run_id", "node").agg(F.max("ir_drop").alias("drop"))
+    d = d.join(t.solve_runs.select("run_id", "design_id"), "run_id").groupBy("design_id", "node").agg(F.max("drop").alias("drop"))
+    return d.join(t.grid_nodes.select("design_id", "layer_num", "node", "x", "y"), ["design_id", "node"])
+
+
+@query(picks_sql("design_id", "(abs(r.x - p.x) <= r.ex * 0.1::DOUBLE AND abs(r.y - p.y) <= r.ey * 0.1::DOUBLE)", 4))
+def separated_worst_instances(t: Tables) -> DataFrame:
+    """The four worst nodes of each design whose windows, a tenth of its extent, neither overlap nor touch."""
+    return ag.separated_worst(worst_places(t), ["design_id"], 4, lambda dx, dy, ex, ey: (dx <= ex * 0.1) & (dy <= ey * 0.1))
+
+
+@query(picks_sql("design_id, layer_num", "(sqrt((r.x - p.x) * (r.x - p.x) + (r.y - p.y) * (r.y - p.y)) < (r.ex + r.ey) * 0.05::DOUBLE)", 3))
 def separated_worst_nodes(t: Tables) -> DataFrame:
-    """Worst nodes that no worse one is near: the worst of each cell, less those that a worse neighbour cell's stands close to."""
-    b = lattice(t).withColumn("cx", F.expr("x div 8000")).withColumn("cy", F.expr("y div 8000"))
-    w = Window.partitionBy("cx", "cy").orderBy(F.desc("drop"), "node")
-    c = b.withColumn("k", F.row_number().over(w)).filter("k = 1").select("node", "x", "y", "drop", "cx", "cy")
-    around = F.sequence(F.lit(-1), F.lit(1))
-    o = c.select("*", F.explode(around).alias("i")).select("*", F.explode(around).alias("j")).select(F.col("node").alias("on"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("drop").alias("od"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-    beaten = c.join(o, ["cx", "cy"]).filter("abs(ox - x) < 8000 AND abs(oy - y) < 8000 AND (od > drop OR (od = drop AND on < node))").select("node").distinct()
-    return c.select("node", "drop").join(beaten, "node", "left_anti")
+    """The three worst nodes of each layer of a design that are a tenth of its mean extent or more apart."""
+    return ag.separated_worst(worst_places(t), ["design_id", "layer_num"], 3, lambda dx, dy, ex, ey: F.sqrt(dx * dx + dy * dy) < (ex + ey) * 0.05)
 
 
 # Plot tables and streams
