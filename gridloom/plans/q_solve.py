@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import aggregates as ag, linear as la, relational as rel, solvers as so, tree as tr
 from ..functions.elements import conductance
-from ..operators.graph import components
 from ..operators.model import network_drop
 from ..sources.sinks import as_json, worst_report
 from ..streaming import monitor
@@ -152,17 +151,12 @@ def pcg_solve(t: Tables) -> DataFrame:
 
 @query()
 def dense_block_solve(t: Tables) -> DataFrame:
-    """Every small island with a pad solved by a dense kernel: loads of one at its free nodes, drops out."""
-    edges = thin(t)
-    labels = components(edges)
-    pad = F.col("node").startswith("c") & (key() % 5 == 0)
-    nodes = labels.select("node", "component", F.coalesce(pad, F.lit(False)).alias("pad"))
-    live = nodes.filter("pad").select("component").distinct()
-    free = nodes.filter("NOT pad").join(live, "component", "left_semi")
-    m = la.stamp(edges.select("u", "v", (1.0 / F.col("r")).alias("g")))
-    g = m.join(free.select(F.col("node").alias("i"), F.col("component").alias("block")), "i").join(free.select(F.col("node").alias("j")), "j", "left_semi")
-    blocks = g.select("block", F.lit("g").alias("kind"), "i", "j", F.col("g").alias("value")).unionByName(free.select(F.col("component").alias("block"), F.lit("b").alias("kind"), F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("value")))
-    return la.block_solve(blocks).select("node", F.round("x", 7).alias("drop"))
+    """Every island with a pad solved for loads of one at its free nodes: small islands by a dense kernel each, those too large for one by iteration."""
+    edges = thin(t).select("u", "v", (1.0 / F.col("r")).alias("g"))
+    ends = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("node"))
+    pad = F.col("node").startswith("c") & (F.substring("node", 2, 20).cast("bigint") % 5 == 0)
+    solved = network_drop(edges, ends.filter(pad), ends.filter(~pad).withColumn("amps", F.lit(1.0)), 0.0)
+    return solved.filter(~pad).select("node", F.round("drop", 6).alias("drop"))
 
 
 def lattice_system(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
