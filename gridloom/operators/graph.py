@@ -53,27 +53,25 @@ def parallel_minimum(edges: DataFrame) -> DataFrame:
     return rows.groupBy("u", "v").agg(F.min("r").alias("r"))
 
 
-def nearest_ports(edges: DataFrame, ports: DataFrame, k: int, r_max: float, rounds: int) -> DataFrame:
-    """node, port, r: the k ports of least path resistance of each node, up to r_max, over paths of at most ``rounds`` edges.
+def nearest_ports(edges: DataFrame, ports: DataFrame, k: int, r_max: float, max_rounds: int = 10_000) -> DataFrame:
+    """node, port, r: the k ports of least path resistance of each node, up to r_max, over paths of any number of edges.
 
-    A label that is not among a node's k best can't be among a neighbour's k best through it, so each round passes on
-    only the k best. It ends early when no label changes.
+    A label that is not among a node's k best can't be among a neighbour's k best through it, so only the k best are
+    kept, and each round passes on only those that are new or lower. It ends when there are none.
     """
     scratch = Scratch(edges.sparkSession)
     links = scratch.write(both_ways(parallel_minimum(edges), "r"))
-    labels = ports.select("node", F.col("node").alias("port"), F.lit(0).cast(edges.schema["r"].dataType).alias("r"))
+    labels = ports.select("node", F.col("node").alias("port"), F.lit(0).cast(edges.schema["r"].dataType).alias("r"), F.lit(1).alias("new")).distinct()
     w = Window.partitionBy("node").orderBy("r", "port")
-    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("node", "port", "r").cast("decimal(38,0)"))]
-    last = None
-    for _ in range(rounds):
-        sent = labels.select(F.col("node").alias("u"), "port", F.col("r").alias("d")).join(links, "u").select(F.col("v").alias("node"), "port", (F.col("d") + F.col("r")).alias("r")).filter(F.col("r") <= r_max)
-        best = labels.unionByName(sent).groupBy("node", "port").agg(F.min("r").alias("r"))
-        labels = scratch.write(best.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn"))
-        now = tuple(labels.agg(*mark).first())
-        if now == last:
-            break
-        last = now
-    return labels
+    for _ in range(max_rounds):
+        sent = labels.filter("new = 1").select(F.col("node").alias("u"), "port", F.col("r").alias("d")).join(links, "u").select(F.col("v").alias("node"), "port", (F.col("d") + F.col("r")).alias("r"), F.lit(1).alias("new")).filter(F.col("r") <= r_max)
+        # Of equal resistances the label that is there already counts, so it isn't passed on again.
+        best = labels.withColumn("new", F.lit(0)).unionByName(sent).groupBy("node", "port").agg(F.min(F.struct("r", "new")).alias("x")).select("node", "port", "x.*")
+        last, labels = labels, scratch.write(best.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn"))
+        scratch.drop(last)
+        if labels.filter("new = 1").isEmpty():
+            return labels.drop("new")
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def contract(edges: DataFrame, merges: DataFrame) -> DataFrame:
