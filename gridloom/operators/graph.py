@@ -74,6 +74,49 @@ def nearest_ports(edges: DataFrame, ports: DataFrame, k: int, r_max: float, max_
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
+def _linked(links: DataFrame, members: DataFrame) -> DataFrame:
+    """tile, node: the members of each tile that links among its own members join to one of its ports."""
+    at = lambda end: members.select("tile", F.col("node").alias(end)).distinct()
+    inside = links.filter("u < v").join(at("u"), "u").join(at("v"), ["tile", "v"])
+    labels = components(inside.select(F.struct("tile", F.col("u").alias("node")).alias("u"), F.struct("tile", F.col("v").alias("node")).alias("v"))).select("node.*", "component")
+    ports = members.filter("role = 'port'").select("tile", "node")
+    fed = labels.join(ports, ["tile", "node"], "left_semi").select("component").distinct()
+    return labels.join(fed, "component", "left_semi").select("tile", "node").unionByName(ports).distinct()
+
+
+def tile_connectivity(edges: DataFrame, members: DataFrame, ports: DataFrame, inner: DataFrame) -> DataFrame:
+    """tile, node, role, added, state: every tile's members after each of its core nodes has been linked to a port, as far as the network does.
+
+    ``members``: tile, node, role (core, halo or port); ``ports`` and ``inner`` (column node): all ports, and the nodes
+    that a path to a port may pass. A core node that is linked to a port only outside its tile brings in the path of
+    fewest links to its nearest port (of equal ones that over the least nodes): its inner nodes as halo, its end as a
+    port, all ``added``. The state is ``linked``, ``floating`` (a core node that no path joins to a port) or
+    ``dropped`` (a halo node that the tile doesn't join to its ports).
+    """
+    scratch = Scratch(edges.sparkSession)
+    links = scratch.write(both_ways(edges.filter("u <> v")).distinct())
+    members = scratch.write(members.select("tile", "node", "role").distinct())
+    ports = scratch.write(ports.select("node").distinct())
+    first = scratch.write(_linked(links, members))
+    usable = ports.unionByName(inner.select("node")).distinct()
+    grid = scratch.write(links.join(usable.withColumnRenamed("node", "u"), "u", "left_semi").join(usable.withColumnRenamed("node", "v"), "v", "left_semi"))
+    near = nearest_ports(grid.filter("u < v").withColumn("r", F.lit(1)), ports, 1, float("inf"))
+    hops = lambda end: near.select(F.col("node").alias(end), F.col("r").alias(f"_{end}"))
+    steps = scratch.write(grid.join(hops("u"), "u").join(hops("v"), "v").filter("_v = _u - 1").groupBy("u").agg(F.min("v").alias("next")))
+    cut = members.filter("role = 'core'").join(first, ["tile", "node"], "left_anti")
+    apart = scratch.write(cut.join(steps.select(F.col("u").alias("node")), "node", "left_semi").select("tile", "node"))
+    path = front = apart
+    while not front.isEmpty():  # each step is nearer to a port
+        reached = front.join(steps.withColumnRenamed("u", "node"), "node").select("tile", F.col("next").alias("node")).distinct()
+        front = scratch.write(reached.join(path, ["tile", "node"], "left_anti"))
+        path = scratch.write(path.unionByName(front))
+    added = path.join(members, ["tile", "node"], "left_anti").join(ports.withColumn("_p", F.lit("port")), "node", "left").select("tile", "node", F.coalesce("_p", F.lit("halo")).alias("role"), F.lit(True).alias("added"))
+    whole = scratch.write(members.withColumn("added", F.lit(False)).unionByName(added))
+    changed = apart.select("tile").distinct()
+    linked = first.join(changed, "tile", "left_anti").unionByName(_linked(links, whole.join(changed, "tile", "left_semi"))).withColumn("_l", F.lit("linked"))
+    return whole.join(linked, ["tile", "node"], "left").select("tile", "node", "role", "added", F.coalesce("_l", F.when(F.col("role") == "core", "floating").otherwise("dropped")).alias("state"))
+
+
 def contract(edges: DataFrame, merges: DataFrame) -> DataFrame:
     """Edges after each node ``node`` of ``merges`` has become ``into``; edges that are loops then are dropped, parallel ones stay."""
     to = lambda c: merges.select(F.col("node").alias(c), F.col("into").alias(f"_{c}"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.values import layer_number
 from ..operators import graph as g, relational as rel
-from .q_relational import _ENDS, _once
+from .q_relational import _ENDS, _once, layer_split_ports
 from .registry import Tables, query
 from .views import MESH, THIN, mesh, thin
 
@@ -140,3 +141,38 @@ def tile_port_reachability(t: Tables) -> DataFrame:
     used = inside.select(F.col("a").alias("node_id")).union(inside.select("b")).distinct().withColumn("one", F.lit(1))
     n = t.grid_nodes.filter("tile_x IS NOT NULL").join(used, "node_id", "left")
     return n.groupBy("design_id", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("nodes"), F.count("one").alias("linked_inside"))
+
+
+def tile_members(t: Tables, ports: DataFrame, halo: float) -> DataFrame:
+    """tile, node, role: each tile's nodes below layer 3, and the others and the ports in its extent and a halo of that share of it on each side.
+
+    Tiles are cells of a regular grid and the halo is narrower than a cell, so only the tiles around a node are asked.
+    """
+    places = t.grid_nodes.filter("tile_x IS NOT NULL AND tile_y IS NOT NULL")
+    box = places.groupBy("design_id", "tile_x", "tile_y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    at = places.join(ports.select(F.col("port").alias("node_id"), F.lit(True).alias("port")), "node_id", "left").filter("port OR layer IS NOT NULL")
+    at = at.filter(F.coalesce("port", F.lit(False)) | _below()).select("design_id", "node_id", "port", "x", "y", F.col("tile_x").alias("hx"), F.col("tile_y").alias("hy"))
+    at = at.select("*", F.explode(near).alias("dx")).select("*", F.explode(near).alias("dy")).withColumn("tile_x", F.col("hx") + F.col("dx")).withColumn("tile_y", F.col("hy") + F.col("dy"))
+    wide, high = (F.col("x1") - F.col("x0")) * halo, (F.col("y1") - F.col("y0")) * halo
+    inside = rel.in_window(F.col("x"), F.col("y"), F.col("x0") - wide, F.col("x1") + wide, F.col("y0") - high, F.col("y1") + high)
+    own = (F.col("dx") == 0) & (F.col("dy") == 0)
+    role = F.when(F.col("port"), "port").when(own, "core").otherwise("halo")
+    return at.join(box, ["design_id", "tile_x", "tile_y"]).filter(own | inside).select(F.struct("design_id", "tile_x", "tile_y").alias("tile"), F.col("node_id").alias("node"), role.alias("role"))
+
+
+def _below():
+    return F.col("layer").isNotNull() & ~F.coalesce(layer_number(F.col("layer")) >= 3, F.lit(False))
+
+
+@query()
+def tile_port_connectivity(t: Tables) -> DataFrame:
+    """Each tile of the grid below layer 3: its core nodes and those that float, and its halo and ports after unreachable nodes are dropped and paths to the nearest port brought in."""
+    e = rel.with_ends(rel.of_type(_once(t), "R"), t.grid_nodes).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ports = layer_split_ports(t)
+    found = g.tile_connectivity(e, tile_members(t, ports, 0.3), ports.select(F.col("port").alias("node")), t.grid_nodes.filter(_below()).select(F.col("node_id").alias("node")))
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    return found.groupBy("tile").agg(
+        n("role = 'core'").alias("core"), n("state = 'floating'").alias("floating"), n("role = 'halo' AND state = 'linked'").alias("halo"), n("state = 'dropped'").alias("halo_dropped"),
+        n("role = 'halo' AND added").alias("halo_added"), n("role = 'port'").alias("ports"), n("role = 'port' AND added").alias("ports_added"),
+    ).select("tile.*", "core", "floating", "halo", "halo_dropped", "halo_added", "ports", "ports_added")
