@@ -40,11 +40,13 @@ def coupled(edges: DataFrame, levels: int = 3) -> DataFrame:
     return out
 
 
-def tiled(nodes: DataFrame, matrix: DataFrame, rhs: DataFrame, size: int, halo: int, sweeps: int) -> DataFrame:
+def tiled(nodes: DataFrame, matrix: DataFrame, rhs: DataFrame, size: int, halo: int, sweeps: int, tolerance: float | None = None) -> DataFrame:
     """(node, x) by overlapping tiles: each tile with its halo is solved apart, with the values outside from the last sweep; the cores are kept.
 
     ``nodes``: node, x, y; ``matrix``: i, j, g; ``rhs``: node, b. A tile holds what lies in ``size`` squared and its
-    halo, so a task's work doesn't grow with the network. Sweeps bring the result to that of the whole system.
+    halo, so a task's work doesn't grow with the network. Sweeps bring the result to that of the whole system. With a
+    ``tolerance`` they end when the error that the changes of the last two sweeps leave is below it, and it raises if
+    ``sweeps`` don't do; without one there are just so many sweeps.
     """
     scratch = Scratch(nodes.sparkSession)
     cell = lambda c, d: F.floor((F.col(c) + d) / size)
@@ -58,7 +60,7 @@ def tiled(nodes: DataFrame, matrix: DataFrame, rhs: DataFrame, size: int, halo:
     inside = rows.filter("inside = 1").select("block", F.lit("g").alias("kind"), "i", "j", F.col("g").alias("value"))
     outside = rows.filter("inside IS NULL").select("block", "i", "j", "g")
     loads = members.join(rhs.select(F.col("node").cast("string").alias("node"), F.col("b").cast("double").alias("b")), "node").select("block", F.col("node").alias("i"), "b")
-    x = None
+    x = last = None
     for _ in range(sweeps):
         b = loads
         if x is not None:
@@ -66,7 +68,16 @@ def tiled(nodes: DataFrame, matrix: DataFrame, rhs: DataFrame, size: int, halo:
             b = loads.join(flow, ["block", "i"], "left").select("block", "i", (F.col("b") + F.coalesce("f", F.lit(0.0))).alias("b"))
         blocks = inside.unionByName(b.select("block", F.lit("b").alias("kind"), "i", F.col("i").alias("j"), F.col("b").alias("value")))
         solved = block_solve(blocks)
-        x = scratch.write(solved.join(members.select(F.col("home").alias("block"), "node").distinct(), ["block", "node"]).select("node", "x"))
+        old, x = x, scratch.write(solved.join(members.select(F.col("home").alias("block"), "node").distinct(), ["block", "node"]).select("node", "x"))
+        if tolerance is not None and old is not None:
+            moved = x.join(old.withColumnRenamed("x", "_x"), "node").agg(F.max(F.abs(F.col("x") - F.col("_x")))).first()[0] or 0.0
+            # Errors shrink by a nearly constant share a sweep, so what is left is the sum of the changes to come.
+            share = moved / last if last else 1.0
+            if moved == 0 or share < 1 and moved * share / (1 - share) <= tolerance:
+                return x
+            last = moved
+    if tolerance is not None:
+        raise RuntimeError(f"values still change after {sweeps} sweeps")
     return x
 
 

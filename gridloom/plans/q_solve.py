@@ -178,7 +178,7 @@ def tile_solve(t: Tables) -> DataFrame:
 @query()
 def tiled_ir_drop(t: Tables) -> DataFrame:
     """Tiles and halos, swept until they agree with the whole network (tested against conjugate gradients)."""
-    return so.tiled(*lattice_system(t), 10_000, 3_000, 6).select("node", F.round("x", 6).alias("drop"))
+    return so.tiled(*lattice_system(t), 10_000, 3_000, 500, 1e-7).select("node", F.round("x", 6).alias("drop"))
 
 
 # Time
