@@ -10,61 +10,79 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the line format.
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-VALUE = rf"(?:{NUMBER}(?:[tTgGkKmMuUnNpPfF]|[mM][eE][gG])?|[vV][dD][dD]|[vV][sS][sS])"
+VALUE = rf"(?:{NUMBER}(?:[mM][eE][gG]|[tTgGkKmMuUnNpPfF])?|[vV][dD][dD]|[vV][sS][sS])"
 NODE = r"\*?(?:0|[0-9]+_[0-9]+_[mM][0-9]|pkg_[A-Za-z0-9_]+)"
 NET = r"[A-Za-z][A-Za-z0-9_]*"
 SCALE = {"t": 1e12, "g": 1e9, "meg": 1e6, "k": 1e3, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15}
-#: Longer lines go to the field scan at once.
-LONG = 20_000
 
-FIELDS = "line_id bigint, design_id bigint, file_name string, line_no int, kind string, name string, u string, v string, value string, net string, options array<string>, raw_line string"
+# Options of a source. Repetitions are possessive, so a list of any length is matched in a loop, not by recursion.
+_GAP = r"[ \t,]"
+_PULSE = rf"pulse\({_GAP}*+{VALUE}(?:{_GAP}++{VALUE}){{6}}{_GAP}*+\)"
+_PWL = rf"pwl\((?:{_GAP}*+{VALUE}{_GAP}++{VALUE}(?={_GAP}|\)))++{_GAP}*+\)"
+_OPTION = rf'(?:static_value={VALUE}|inst="(?:[^"]|"")*+"|{_PULSE}|{_PWL})(?=[ \t]|\z)'
+
+BASE = "line_id bigint, design_id bigint, file_name string, line_no int, kind string"
+FIELDS = BASE + ", name string, u string, v string, value string, net string, options array<string>, raw_line string"
 
 
 def _csv(text: Column, columns: str) -> Column:
     return F.from_csv(text, f"{columns}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "sep": "\t", "quote": "\x00"})
 
 
-def _permissive(lines: DataFrame) -> DataFrame:
+def without_line_end(c: Column) -> Column:
+    """A text without one line end (CR, LF or both) at its end."""
+    n = F.length(c)
+    return F.when(c.endswith("\r\n"), F.substring(c, F.lit(1), n - 2)).when(c.endswith("\r") | c.endswith("\n"), F.substring(c, F.lit(1), n - 1)).otherwise(c)
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """The lines of tile and instance files that are records, with the kind of their file (``ckt``, ``nd``, ``sp``).
+
+    ``line`` is the raw line without the line end that may stand at its end; a CR or LF anywhere else is a letter like
+    any other. NULL and blank lines, lines that start with ``*`` or ``.``, and lines of other files are no records.
+    """
+    kind = F.lower(F.regexp_extract("file_name", r"\.([A-Za-z]+)\z", 1))
+    rows = lines.select("line_id", "design_id", "file_name", "line_no", kind.alias("kind"), "raw_line", without_line_end(F.col("raw_line")).alias("line"))
+    return rows.filter(F.col("kind").isin("ckt", "nd", "sp") & F.col("line").rlike(r"^[ \t]*+[^ \t*.]"))
+
+
+def _permissive(rows: DataFrame) -> DataFrame:
     """Adds the fields and ``fits``; it is true only for lines that surely fit, and the others keep their text."""
-    raw = F.col("raw_line")
-    parts = F.split(raw, '"', -1)
-    masked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit("\x01"))), '"')
-    joined = F.regexp_replace(masked, r"[ \t]+(?=[^()]*\))", ",")
-    cut = F.regexp_replace(F.btrim(joined, F.lit(" \t")), r"(?s)[ \t]\*(?:[ \t].*)?\z", "")
-    tabbed = F.regexp_replace(F.btrim(cut, F.lit(" \t")), r"[ \t]+", "\t")
-    headed = F.regexp_replace(tabbed, r"(?s)^([^\t]+\t[^\t]+\t[^\t]+\t[^\t]+)\t(.*)\z", "$1\x02$2")
-    quoted = lines.withColumn("_quotes", F.size(parts) - 1).withColumn("_t", F.when(F.col("kind") == "sp", headed).otherwise(tabbed))
-    head = F.element_at(F.split("_t", "\x02", -1), 1)
-    rows = quoted.withColumn("_ckt", F.when(F.col("kind") != "nd", _csv(head, "name string, u string, v string, value string")))
-    rows = rows.withColumn("_nd", F.when(F.col("kind") == "nd", _csv(F.col("_t"), "node string, a string, b string, c string, d string, net string")))
-    rest = F.when((F.col("kind") == "sp") & F.col("_t").contains("\x02"), F.split(F.element_at(F.split("_t", "\x02", -1), 2), "\t", -1)).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("_rest", rest)
-    c, d = F.col("_ckt"), F.col("_nd")
+    line, kind = F.col("line"), F.col("kind")
+    cut = F.btrim(F.regexp_replace(line, r"(?s)[ \t]\*(?:[ \t].*)?\z", ""), F.lit(" \t"))
+    four = F.regexp_extract(line, r"^[ \t]*+((?:[^ \t]++[ \t]++){3}[^ \t]++)", 1)
+    rows = rows.withColumn("_head", F.regexp_replace(F.when(kind == "sp", four).otherwise(cut), r"[ \t]++", "\t"))
+    rows = rows.withColumn("_c", F.when(kind != "nd", _csv(F.col("_head"), "name string, u string, v string, value string")))
+    rows = rows.withColumn("_d", F.when(kind == "nd", _csv(F.col("_head"), "node string, a string, b string, c string, d string, net string")))
+    c, d = F.col("_c"), F.col("_d")
     whole = lambda pattern: f"^(?:{pattern})\\z"
-    items = lambda o: F.split(F.btrim(F.regexp_extract(o, r"(?s)\((.*)\)", 1), F.lit(",")), ",+", -1)
-    numbers = lambda o: F.forall(items(o), lambda x: x.rlike(whole(VALUE)))
-    option = lambda o: (
-        o.rlike(f"(?i)^static_value={VALUE}\\z") | o.rlike('(?i)^inst="\x01"\\z')
-        | (o.rlike(r"(?i)^pulse\([^()]*\)\z") & (F.size(items(o)) == 7) & numbers(o))
-        | (o.rlike(r"(?i)^pwl\([^()]*\)\z") & (F.size(items(o)) % 2 == 0) & numbers(o))
-    )
     element = c["_corrupt"].isNull() & c["u"].rlike(whole(NODE)) & c["v"].rlike(whole(NODE)) & c["value"].rlike(whole(VALUE))
-    ckt = element & (F.col("_quotes") == 0) & c["name"].rlike(r"^[rRcClL][^()]*\z") & ~c["value"].startswith("-")
-    sp = element & F.col("_quotes").isin(0, 2) & c["name"].rlike(r'^[iI][^()"]*\z') & F.forall("_rest", option)
-    nd = d["_corrupt"].isNull() & (F.col("_quotes") == 0) & d["node"].rlike(whole(NODE)) & d["net"].rlike(whole(NET))
+    ckt = element & c["name"].rlike(r'^[rRcClL][^()"]*\z') & ~c["value"].startswith("-")
+    after = rf"^[ \t]*+(?:[^ \t]++[ \t]++){{3}}[^ \t]++(?i:((?:[ \t]++{_OPTION})*+))[ \t]*+"
+    sp = element & c["name"].rlike(r'^[iI][^()"]*\z') & line.rlike(rf"(?s){after}(?:(?<=[ \t])\*(?:[ \t].*)?)?\z")
+    nd = d["_corrupt"].isNull() & d["node"].rlike(whole(NODE)) & d["net"].rlike(whole(NET))
     for x in "abcd":
         nd = nd & d[x].rlike(whole(VALUE))
-    fits = F.when(F.length(raw) > LONG, False).when(F.col("kind") == "ckt", ckt).when(F.col("kind") == "sp", sp).otherwise(nd)
-    insides = F.filter(parts, lambda x, i: i % 2 == 1)
-    instance = F.array_join(insides, '"')
-    options = F.transform("_rest", lambda o: F.when(o.rlike('(?i)^inst="'), F.concat(F.lit('inst="'), instance, F.lit('"'))).otherwise(F.regexp_replace(o, ",+", ",")))
+    fits = F.coalesce(F.when(kind == "ckt", ckt).when(kind == "sp", sp).otherwise(nd), F.lit(False))
+    # The test stands in a generator: a filter on its result can't be pushed below it, which would copy the parse into every reference.
+    rows = rows.select("*", F.explode(F.array(fits)).alias("fits"))
+    options = F.regexp_extract_all(F.regexp_extract(line, after, 1), F.lit(rf"(?i){_OPTION}"), F.lit(0))
+    options = F.transform(options, lambda o: F.when(o.rlike("(?i)^p"), _listed(o)).otherwise(o))
+    good = lambda x: F.when(F.col("fits"), x)
     return rows.select(
-        *lines.columns, F.coalesce(fits, F.lit(False)).alias("fits"), c["name"].alias("name"), F.coalesce(c["u"], d["node"]).alias("u"), c["v"].alias("v"), c["value"].alias("value"), d["net"].alias("net"), options.alias("options")
-    )
+        "line_id", "design_id", "file_name", "line_no", "kind", good(c["name"]).alias("name"), good(F.coalesce(c["u"], d["node"])).alias("u"), good(c["v"]).alias("v"), good(c["value"]).alias("value"), good(d["net"]).alias("net"),
+        F.when(F.col("fits") & (kind == "sp"), options).otherwise(F.array().cast("array<string>")).alias("options"), "raw_line", "line", "fits",
+    )
+
+
+def _listed(o: Column) -> Column:
+    """A list of values parted by single commas."""
+    return F.regexp_replace(F.regexp_replace(o, rf"{_GAP}+", ","), r"(?<=\(),|,(?=\))", "")
 
 
 def split_fields(line: str) -> tuple[list[str], bool]:
@@ -98,7 +116,7 @@ _OTHER = re.compile(rf'(?:static_value={VALUE}|inst="(?:[^"]|"")*")\Z', re.I)
 
 
 def _commas(m: re.Match) -> str:
-    return m[1] + "(" + re.sub("[, \\t]+", ",", m[2]) + ")"
+    return m[1] + "(" + ",".join(x for x in re.split("[, \\t]+", m[2]) if x) + ")"
 
 
 def _negative(value: str) -> bool:
@@ -131,32 +149,36 @@ def reason(kind: str, line: str) -> tuple[str | None, list[str]]:
     return "bad_value" if bad else None, fields
 
 
-def _rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = {c: [] for c in ("name", "u", "v", "value", "net", "options", "reason")}
-        for kind, line in zip(b.column("kind").to_pylist(), b.column("raw_line").to_pylist()):
-            why, f = reason(kind, line)
-            nd = kind == "nd"
-            ok = why is None
-            row = (None if nd else f[0], f[0] if nd else f[1], None if nd else f[2], None if nd else f[3], f[5] if nd else None, [_LIST.sub(_commas, o) for o in f[4:]] if kind == "sp" else []) if ok else (None,) * 6
-            for c, x in zip(out, (*row, why)):
-                out[c].append(x)
-        names = ["line_id", "design_id", "file_name", "line_no", "kind"]
-        kinds = {"options": pa.list_(pa.string())}
-        new = {c: pa.array(x, kinds.get(c, pa.string())) for c, x in out.items()}
-        cols = {c: b.column(c) for c in names} | new | {"raw_line": b.column("raw_line")}
-        order = [*names, "name", "u", "v", "value", "net", "options", "raw_line", "reason"]
-        yield pa.RecordBatch.from_arrays([cols[c] for c in order], names=order)
+_BASE = [x.split()[0] for x in BASE.split(", ")]
+_NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """The lines of tile and instance files that are records, with the kind of their file (``ckt``, ``nd``, ``sp``).
+def _rescan(b: pa.RecordBatch) -> pa.RecordBatch:
+    out = {c: [] for c in ("name", "u", "v", "value", "net", "options", "reason")}
+    for kind, line in zip(b.column("kind").to_pylist(), b.column("line").to_pylist()):
+        why, f = reason(kind, line)
+        nd = kind == "nd"
+        row = (None if nd else f[0], f[0] if nd else f[1], None if nd else f[2], None if nd else f[3], f[5] if nd else None, [_LIST.sub(_commas, o) for o in f[4:]] if kind == "sp" else []) if why is None else (None,) * 6
+        for c, x in zip(out, (*row, why)):
+            out[c].append(x)
+    new = {c: pa.array(x, pa.list_(pa.string()) if c == "options" else pa.string()) for c, x in out.items()}
+    cols = {c: b.column(c) for c in [*_BASE, "raw_line"]} | new
+    return pa.RecordBatch.from_arrays([cols[c] for c in [*_NAMES, "reason"]], names=[*_NAMES, "reason"])
 
-    NULL and blank lines, lines that start with ``*`` or ``.``, and lines of other files are no records.
-    """
-    kind = F.lower(F.regexp_extract("file_name", r"\.([A-Za-z]+)$", 1))
-    rows = lines.select("line_id", "design_id", "file_name", "line_no", kind.alias("kind"), "raw_line")
-    return rows.filter(F.col("kind").isin("ckt", "nd", "sp") & F.col("raw_line").rlike(r"(?s)^[ \t]*[^ \t*.]"))
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that fit pass as they are; the others are scanned."""
+    for b in batches:
+        good = b.filter(b.column("fits"))
+        if good.num_rows:
+            yield pa.RecordBatch.from_arrays([*(good.column(c) for c in _NAMES), pa.nulls(good.num_rows, pa.string())], names=[*_NAMES, "reason"])
+        if good.num_rows < b.num_rows:
+            yield _rescan(b.filter(pc.invert(b.column("fits"))))
+
+
+def classify(lines: DataFrame) -> DataFrame:
+    """Every record of ``netlist_lines`` once, with its fields and ``reason``, which is NULL where the line loads: one pass over the lines."""
+    return _permissive(records(lines)).mapInArrow(_judge, FIELDS + ", reason string")
 
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,14 +186,11 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Both have line_id, design_id, file_name, line_no, kind, name, u, v, value, net, options and raw_line; ``failed`` has
     ``reason`` as well: ``quoting``, ``column_count`` or ``bad_value``. Every row of ``lines`` that is a record is in
-    exactly one of them, as often as it stands in ``lines``.
+    exactly one of them, as often as it stands in ``lines``. ``raw_line`` is the whole line as it came, with its line
+    end. Whoever needs both takes ``classify``; ``failed`` alone sends only doubtful lines to the scan.
     """
-    read = _permissive(records(lines))
-    plain = [x.split()[0] for x in FIELDS.split(", ")]
-    fitting = read.filter("fits").select(*plain)
-    doubtful = read.filter("NOT fits").select("line_id", "design_id", "file_name", "line_no", "kind", "raw_line")
-    again = doubtful.mapInArrow(_rescan, FIELDS + ", reason string")
-    return fitting.unionByName(again.filter("reason IS NULL").drop("reason")), again.filter("reason IS NOT NULL")
+    doubtful = _permissive(records(lines)).filter("NOT fits").mapInArrow(_judge, FIELDS + ", reason string")
+    return classify(lines).filter("reason IS NULL").drop("reason"), doubtful.filter("reason IS NOT NULL")
 
 
 def number(c: Column, vdd: float = 0.75, vss: float = 0.0) -> Column:
