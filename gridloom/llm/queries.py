@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.readings import current_readings
-from ..session import table
+from ..session import Scratch, table
 from .corpus_ids import decode_corpus, encode_corpus, tokenizer_path
 from .islands import hash_to_min
 from .packing import pack
 from .percentiles import multi_select
 from .subjects import subjects_of
-from .top_n import merge_runs, sorted_runs
+from .top_n import RUNS, merge_runs, sorted_runs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten worst nodes of every net of every run."""
     group = ["run_id", "net_name"]
-    readings = current_readings(table(spark, sf_dir, "solve_drops"), group)
-    runs = sorted_runs(readings, group, "ir_drop", "node", 10, "_salt")
+    readings = current_readings(table(spark, sf_dir, "solve_drops"), group, parts=RUNS)
+    runs = Scratch(spark).write(sorted_runs(readings, group, "ir_drop", "node", 10, "_salt"))
     return merge_runs(runs, group, 10, "drop_rank").select("run_id", "net_name", "drop_rank", F.col("item").alias("node"))
 
 
