@@ -35,7 +35,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     at_u = nodes.select("design_id", F.col("name").alias("u"), F.col("node_id").alias("a"))
     at_v = nodes.select("design_id", F.col("name").alias("v"), F.col("node_id").alias("b"))
     links = ends.join(at_u, ["design_id", "u"]).join(at_v, ["design_id", "v"]).select("a", "b")
-    return hash_to_min(nodes.select(F.col("node_id").alias("id")), links).select(F.col("id").alias("node_id"), F.col("group_id").alias("island_id"))
+    return hash_to_min(nodes.select(F.col("node_id").alias("id")), links, known=True).select(F.col("id").alias("node_id"), F.col("group_id").alias("island_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

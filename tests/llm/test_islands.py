@@ -44,6 +44,21 @@ def test_chain_and_hot_star(spark):
     assert got == least(v, chain + star)
 
 
+def test_paths_and_shapes(spark):
+    """Groups that settle at different rounds, through every way of placing and setting aside."""
+    r = random.Random(5)
+    links, at = [], 0
+    for size in (1, 2, 3, 7, 20, 61):
+        ids = list(range(at, at + size))
+        r.shuffle(ids)
+        links += list(zip(ids, ids[1:]))
+        at += size
+    links += [(at + i, at + i // 2) for i in range(1, 40)] + [(at + 40 + i, at + 40 + (i + 1) % 9) for i in range(9)]
+    v = list(range(at + 50))
+    for kw in ({}, {"min_rows": 3}, {"known": True, "min_rows": 20}):
+        assert run(spark, v, links, **kw) == least(v, links)
+
+
 def test_empty(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [5, 6], []) == {5: 5, 6: 6}
