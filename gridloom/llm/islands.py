@@ -52,7 +52,7 @@ class _Clusters:
         return [F.sum(F.when(F.col("v") != F.col("m"), 1).otherwise(0)), F.sum(F.when(F.col("v") == F.col("m"), 1).otherwise(0))]
 
 
-def hash_to_min(vertices: DataFrame, links: DataFrame, min_rows: int = 500_000, max_rounds: int = 200, known: bool = False) -> DataFrame:
+def hash_to_min(vertices: DataFrame, links: DataFrame, min_rows: int = 2_000_000, max_rounds: int = 200, known: bool = False) -> DataFrame:
     """Each vertex with the least vertex that is linked to it directly or indirectly: id, group_id.
 
     ``vertices``: id BIGINT. ``links``: a, b BIGINT. A link with a NULL end, or an end that is no vertex, links nothing;

@@ -24,7 +24,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def node_key(c):
     """One leading ``*`` and the case of the layer's M make no difference to a node's name."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\*", ""), "^([0-9]+_[0-9]+_)m([0-9])$", "$1M$2")
+    bare = F.when(c.startswith("*"), c.substr(F.lit(2), F.length(c))).otherwise(c)
+    return F.when(bare.contains("_m"), F.regexp_replace(bare, "^([0-9]+_[0-9]+_)m([0-9])$", "$1M$2")).otherwise(bare)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
