@@ -2,7 +2,8 @@
 
 Each partition proposes medians of slices of its values; their weighted quantiles near the rank that is sought become
 two pivots; a count below, at, between and above them tells which ranges are ruled out; the rest goes into the next
-round, until every rank is found. Counts of separate pieces (runs, days) add up, so any union of pieces can be asked.
+round, until every rank is found. Summaries of separate pieces (runs, days) are kept and united: they answer at once
+within a bound, and start the exact search over any union of pieces.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ SLICES, FLUSH, BROADCAST_ROWS = 128, 2_000_000, 50_000
 
 
 def _propose(names: list[str]):
-    """For mapInArrow: keys, value, weight to weighted medians of slices, as many as twice the root of a group's rows at most."""
+    """For mapInArrow: keys, value, weight, err to weighted medians of slices, as many as twice the root of a group's rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -46,10 +47,14 @@ def _propose(names: list[str]):
             first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (cut[1:] != cut[:-1])])
             size = np.diff(np.r_[first, len(code)])
             middle = first + size // 2
+            # A slice of several values is counted wrongly by less than its weight; each list's greatest such error is noted once.
+            own = np.flatnonzero(np.r_[True, code[first[1:]] != code[first[:-1]]])
+            err = np.zeros(len(first))
+            err[own] = np.maximum.reduceat(np.where(size > 1, np.add.reduceat(w, first), 0.0), own) + np.add.reduceat(t.column("err").to_numpy()[order], start)
             out = t.select(names).take(pa.array(order[middle]))
             arrays = [out.column(c).combine_chunks() for c in names]
             arrays = [a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(v[middle]), pa.array(np.add.reduceat(w, first))], names=[*names, "value", "weight"])
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(v[middle]), pa.array(np.add.reduceat(w, first)), pa.array(err)], names=[*names, "value", "weight", "err"])
 
         for b in batches:
             if b.num_rows:
@@ -69,30 +74,65 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def multi_select(data: DataFrame, group: list[str], value: str, percents: list[int], min_rows: int = 1, salt: str | None = None) -> DataFrame:
+def _plain(data: DataFrame, group: list[str], value: str) -> DataFrame:
+    rows = data.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value))).dropna(subset=group)
+    return rows.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], (F.col(value).cast("double") + F.lit(0.0)).alias("value"))
+
+
+def _proposals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each partition's weighted medians, met by key (and 16 places for each key, so no key is one task) and made fewer once more."""
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), "value double, weight double, err double"])
+    local = rows.select(*keys, "value", F.lit(1.0).alias("weight"), F.lit(0.0).alias("err")).mapInArrow(_propose(keys), schema)
+    return local.repartition(*keys, F.pmod(F.xxhash64("value"), F.lit(16))).mapInArrow(_propose(keys), schema)
+
+
+def summarise(data: DataFrame, group: list[str], value: str) -> DataFrame:
+    """What is kept of a piece (a day, a run): group, value, weight, err; medians of slices of its values.
+
+    A group's weights add up to its number of values, its errs to the most by which a count of values up to any value
+    can be wrong. Summaries of pieces are united with ``unionByName`` and then stand for the union of the pieces, in
+    ``bounded`` and as the start of ``multi_select``. Group columns must not be named value, weight or err.
+    """
+    rows = _plain(data, group, value)
+    made = _proposals(rows, rows.columns[:-1])
+    return made.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(group)], "value", "weight", "err")
+
+
+def bounded(summary: DataFrame, group: list[str], percents: list[int]) -> DataFrame:
+    """group, pct INT, value, n, max_error: percentiles from summaries alone; the value's rank is off by a share ``max_error`` of n at most."""
+    rows = summary.groupBy(*group, "value").agg(F.sum("weight").alias("weight"), F.sum("err").alias("err"))
+    places, whole = Window.partitionBy(*group).orderBy("value"), Window.partitionBy(*group)
+    rows = rows.withColumn("upto", F.sum("weight").over(places)).withColumn("n", F.sum("weight").over(whole)).withColumn("err", F.sum("err").over(whole))
+    each = rows.select(*group, "value", "upto", "n", "err", F.explode(F.array(*[F.lit(p).cast("int") for p in percents])).alias("pct"))
+    reached = each.filter(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.col("pct") / 100)))
+    return reached.groupBy(*group, "pct").agg(F.min("value").alias("value"), F.first("n").cast("long").alias("n"), (F.first("err") / F.first("n")).alias("max_error"))
+
+
+def multi_select(data: DataFrame, group: list[str], value: str, percents: list[int], min_rows: int = 1, summary: DataFrame | None = None) -> DataFrame:
     """For each group of at least ``min_rows`` values and each whole percent, the smallest value that at least so many percent of the group do not exceed.
 
     The result is exact: group, pct INT, value DOUBLE. NULL and NaN values are no values; rows with a NULL group
-    column belong to no group. An empty table gives an empty result.
+    column belong to no group. An empty table gives an empty result. ``data`` may be the union of several pieces;
+    ``summary`` is then the union of their summaries, from which the first pivots are taken instead of a pass.
     """
     spark, scratch, names = data.sparkSession, Scratch(data.sparkSession), group
-    rows = data.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value))).dropna(subset=group)
-    rows = rows.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(names)], (F.col(value).cast("double") + F.lit(0.0)).alias("value"))
+    rows = _plain(data, group, value)
     group = rows.columns[:-1]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group)
     rows = scratch.write(rows)
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+    if summary is None:
+        first = _proposals(rows, group)
+    else:
+        first = summary.select(*[F.col(c).alias(g) for c, g in zip(names, group)], "value", "weight")
+    first = scratch.write(first)
+    sizes = first.groupBy(*group).agg(F.sum("weight").cast("long").alias("n")).filter(F.col("n") >= min_rows)
     pct = F.explode(F.array(*[F.lit(p).cast("int") for p in percents])).alias("pct")
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("pct") / F.lit(100))).cast("long")
     targets = sizes.select(*group, "n", pct).withColumn("k", k).withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
     targets = scratch.write(targets)
     left, found, keys = targets.count(), [], list(group)
     while left:
-        weighted = rows.select(*keys, "value", F.lit(1.0).alias("weight"))
-        schema = ", ".join([kinds, *["pct int"] * (len(keys) > len(group)), "value double, weight double"])
-        local = weighted.mapInArrow(_propose(keys), schema)
-        spread = local.repartition(*keys, F.pmod(F.xxhash64("value"), F.lit(16)))
-        proposals = spread.mapInArrow(_propose(keys), schema)
+        proposals = first if keys == list(group) else _proposals(rows, keys)
         w = Window.partitionBy(*keys).orderBy("value")
         whole = Window.partitionBy(*keys)
         placed = proposals.withColumn("upto", F.sum("weight").over(w)).withColumn("all", F.sum("weight").over(whole))

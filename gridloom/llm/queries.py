@@ -41,7 +41,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50th, 95th and 99th percentile of the drop for every net and layer, as bins of a tenth."""
-    readings = current_readings(table(spark, sf_dir, "solve_drops"), ["net_name"], ["layer"])
+    readings = current_readings(table(spark, sf_dir, "solve_drops"), ["net_name"], ["layer"], min_rows=50_000)
     from_name = F.regexp_extract("node", "^[0-9]+_[0-9]+_([A-Za-z][A-Za-z0-9]*)$", 1)
     layer = F.upper(F.coalesce("layer", F.when(from_name != "", from_name)))
     found = multi_select(readings.withColumn("layer", layer), ["net_name", "layer"], "ir_drop", [50, 95, 99], 100)

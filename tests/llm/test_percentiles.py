@@ -2,7 +2,7 @@ import math
 import random
 
 from gridloom.llm import percentiles
-from gridloom.llm.percentiles import multi_select
+from gridloom.llm.percentiles import bounded, multi_select, summarise
 
 
 def exact(rows, pcts, least):
@@ -38,6 +38,24 @@ def test_rounds_with_few_slices(spark, monkeypatch):
     check(spark, [("g", r.choice("xy"), r.paretovariate(1), None, None) for _ in range(3000)], [10, 50, 99])
 
 
+def test_days_put_together(spark, monkeypatch):
+    """Two days' summaries united answer within their bound, and start the exact search over both days."""
+    monkeypatch.setattr(percentiles, "SLICES", 16)
+    r = random.Random(10)
+    day = lambda k: [(r.choice("pq"), r.choice(["M1", None]), r.gauss(k, 1), None, None) for _ in range(4000)]
+    rows = [day(0), day(3)]
+    days = [spark.createDataFrame(x, "a string, b string, x double, value string, weight string") for x in rows]
+    summary = summarise(days[0], ["a", "b"], "x").unionByName(summarise(days[1], ["a", "b"], "x"))
+    pcts = [5, 50, 99]
+    got = multi_select(days[0].unionByName(days[1]), ["a", "b"], "x", pcts, summary=summary)
+    assert {(g.a, g.b, g.pct, g.value) for g in got.collect()} == exact(rows[0] + rows[1], pcts, 1)
+    for g in bounded(summary, ["a", "b"], pcts).collect():
+        values = sorted(v for a, b, v, *_ in rows[0] + rows[1] if (a, b) == (g.a, g.b))
+        assert g.n == len(values) and 0 < g.max_error < 0.2
+        assert abs(sum(v <= g.value for v in values) - len(values) * g.pct / 100) <= g.max_error * g.n + 1
+
+
 def test_empty(spark):
+    assert bounded(summarise(spark.createDataFrame([], "a string, x double"), ["a"], "x"), ["a"], [50]).count() == 0
     check(spark, [], [50])
     check(spark, [("a", "b", None, None, None)], [50])
