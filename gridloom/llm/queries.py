@@ -62,11 +62,42 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(p6_ids(spark, sf_dir), _ranks(spark))
 
 
+def _packed(spark: SparkSession, sf_dir: str, **limits) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    sizes = Scratch(spark).write(encode_corpus(table(spark, sf_dir, "documents"), _ranks(spark), counts_only=True))
+    windows = [(r.window_id, r.capacity_tokens) for r in table(spark, sf_dir, "context_windows").select("window_id", "capacity_tokens").collect()]
+    return pack(sizes, windows, **limits), sizes, windows
+
+
 def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts put into the context windows of each capacity."""
-    sizes = encode_corpus(table(spark, sf_dir, "documents"), _ranks(spark), counts_only=True)
-    windows = [(r.window_id, r.capacity_tokens) for r in table(spark, sf_dir, "context_windows").select("window_id", "capacity_tokens").collect()]
-    return pack(sizes, windows)
+    return _packed(spark, sf_dir)[0]
+
+
+#: Documents of a window at most, and attention cost as a share of the square of its capacity, where these are to bind.
+MAX_ITEMS, COST_SHARE = 6, 0.4
+
+
+def p7_limited_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with few documents a window and a bounded attention cost."""
+    return _packed(spark, sf_dir, max_items=MAX_ITEMS, cost_share=COST_SHARE)[0]
+
+
+def p7_limited_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p7_limited_windows, for each capacity: all documents and tokens are there, no window is over a limit (but for a single item), nothing is divided that fits."""
+    rows, sizes, windows = _packed(spark, sf_dir, max_items=MAX_ITEMS, cost_share=COST_SHARE)
+    rows = Scratch(spark).write(rows)
+    cap = F.create_map(*[F.lit(x) for kv in windows for x in kv])
+    squares = F.sum(F.col("n_tokens").cast("double") ** 2)
+    bins = rows.groupBy("window_id", "bin_id").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("items"), squares.alias("cost")).withColumn("cap", F.try_element_at(cap, F.col("window_id")))
+    n = lambda test: F.count(F.when(test, 1))
+    of_bins = bins.groupBy("window_id").agg(
+        n(F.col("size") > F.col("cap")).alias("overfull"), n(F.col("items") > MAX_ITEMS).alias("over_items"),
+        n((F.col("items") > 1) & (F.col("cost") > F.col("cap").cast("double") ** 2 * COST_SHARE * (1 + 1e-9))).alias("over_cost"),
+    )
+    docs = rows.groupBy("window_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces")).join(sizes.select("doc_id", F.col("n_tokens").alias("size")), "doc_id")
+    docs = docs.withColumn("cap", F.try_element_at(cap, F.col("window_id")))
+    of_docs = docs.groupBy("window_id").agg(F.count(F.lit(1)).alias("documents"), n(F.col("got") != F.col("size")).alias("lost"), n((F.col("pieces") > 1) & (F.col("size") <= F.col("cap"))).alias("divided"))
+    return of_docs.join(of_bins, "window_id").select("window_id", "documents", "lost", "divided", "overfull", "over_items", "over_cost")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +106,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), names)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_ids, p6_decoded, p7_windows, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_ids, p6_decoded, p7_windows, p7_limited_windows, p7_limited_checks, p8_found)}
 
 _RULE_R = """
   r0 AS (SELECT *, upper(trim(net_name)) AS net FROM solve_drops),
@@ -84,6 +115,7 @@ _RULE_R = """
   r AS (SELECT run_id, net, node, layer, ir_drop FROM r1 WHERE rn = 1 AND ir_drop IS NOT NULL AND NOT isnan(ir_drop))"""
 
 SQL = {
+    "p7_limited_checks": """SELECT window_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS lost, 0 AS divided, 0 AS overfull, 0 AS over_items, 0 AS over_cost FROM context_windows""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p1_found": f"""WITH {_RULE_R}
 SELECT run_id, net AS net_name, CAST(k AS INTEGER) AS drop_rank, node

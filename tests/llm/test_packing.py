@@ -46,8 +46,7 @@ def valid(rows, items, containers):
 
 
 def test_whole_and_full(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 60)
-    monkeypatch.setattr(packing, "MERGE", 3)
+    monkeypatch.setattr(packing, "GROUP", 60)
     r = random.Random(1)
     items = [(i, r.choice([None, 0, -3, 1, 5000, *[r.randint(1, 900) for _ in range(12)]])) for i in range(600)] + [(None, 5)]
     containers = [(1, 512), (2, 2048)]
@@ -63,6 +62,42 @@ def test_other_capacities_bind(spark):
     assert sorted(per.values()) == [1] + [7] * 7
 
 
+def test_cost_binds(spark):
+    """600 and 300 cost 0.45 of the square of 1000, three of 300 0.27; an item of 900 costs more than the share alone and stands by itself."""
+    rows = result(spark, [(i, 600 if i % 2 else 300) for i in range(40)] + [(99, 900)], [(1, 1000)], cost_share=0.4)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin_id, []).append(r.n_tokens)
+    assert sorted(bins.values())[-1] == [900] and all(len(b) == 1 or sum(x * x for x in b) <= 400_000 for b in bins.values())
+    assert len(rows) == 41 and len(bins) == 20 + 7 + 1
+    assert len({r.bin_id for r in result(spark, [(i, 600 if i % 2 else 300) for i in range(40)], [(1, 1000)])}) == 20
+
+
+def test_items_that_do_not_pair(spark, monkeypatch):
+    """Many items above half the capacity with a few small ones: groups stay small, and the small ones find room."""
+    monkeypatch.setattr(packing, "GROUP", 100)
+    seen = []
+    real = packing._merge_level
+
+    def watched(*a):
+        made = real(*a)
+        seen.append(made and made[0].count())
+        return made
+
+    monkeypatch.setattr(packing, "_merge_level", watched)
+    items = [(i, 550) for i in range(3000)] + [(10_000 + i, 50) for i in range(10)]
+    rows = result(spark, items, [(1, 1000)])
+    assert len({r.bin_id for r in rows}) == 3000 and len(rows) == 3010
+    assert seen[-1] is None and len(seen) <= 3
+
+
+def test_best_fit_is_not_quadratic():
+    n = 40_000
+    size = np.where(np.arange(n) % 50, 550, 30)
+    at = best_fit(size, np.ones(n), size.astype(float) ** 2, np.array([1000.0, 1000.0, 1e6]))
+    assert len(set(at)) == (size == 550).sum()
+
+
 def test_empty(spark):
     assert result(spark, [], [(1, 10)]) == []
     assert result(spark, [(1, 5)], []) == []
