@@ -34,9 +34,11 @@ def multiply(matrix: DataFrame, vector: DataFrame) -> DataFrame:
 
 def jacobi(matrix: DataFrame, rhs: DataFrame, sweeps: int) -> DataFrame:
     """(node, x) after a fixed number of Jacobi sweeps from zero; ``rhs``: node, b for every unknown."""
+    scratch = Scratch(matrix.sparkSession)
+    matrix = scratch.write(matrix)
     diagonal = matrix.filter("i = j").select(F.col("i").alias("node"), F.col("g").alias("d"))
     off = matrix.filter("i <> j")
-    base = rhs.join(diagonal, "node")
+    base = scratch.write(rhs.join(diagonal, "node"))
     x = base.select("node", (F.col("b") / F.col("d")).alias("x"))
     for _ in range(sweeps - 1):
         x = base.join(multiply(off, x), "node", "left").select("node", ((F.col("b") - F.coalesce("y", F.lit(0.0))) / F.col("d")).alias("x"))

@@ -62,21 +62,24 @@ def bounded_zero_ohm_reach(t: Tables) -> DataFrame:
 _PATHS = f"""{THIN}, e0 AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(r) AS r FROM thin GROUP BY 1, 2), e AS (SELECT u, v, r FROM e0 UNION ALL SELECT v, u, r FROM e0)"""
 
 
-def _rounds(ports: str, n: int) -> str:
-    out = f"d0 AS (SELECT 'c' || c_custkey AS node, 'c' || c_custkey AS port, CAST(0 AS BIGINT) AS r FROM customer WHERE {ports})"
-    for k in range(1, n + 1):
-        out += f", d{k} AS (SELECT node, port, min(r) AS r FROM (SELECT * FROM d{k - 1} UNION ALL SELECT e.v, d.port, d.r + e.r FROM d{k - 1} d JOIN e ON e.u = d.node) GROUP BY 1, 2)"
-    return out
-
-
-@query(f"WITH {_PATHS}, {_rounds('c_custkey % 300 = 11', 6)} SELECT node, CAST(min(r) AS BIGINT) AS r FROM d6 GROUP BY node")
+@query(f"""WITH RECURSIVE {_PATHS}, reach(node, r) USING KEY (node) AS (
+    SELECT 'c' || c_custkey, CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 300 = 11
+    UNION
+    SELECT e.v, CAST(min(d.r + e.r) AS BIGINT) FROM reach d JOIN e ON e.u = d.node LEFT JOIN recurring.reach o ON o.node = e.v WHERE o.node IS NULL OR d.r + e.r < o.r GROUP BY e.v)
+SELECT node, r FROM reach""")
 def shortest_resistance(t: Tables) -> DataFrame:
-    """Least path resistance to the nearest of a few nodes, over any number of links; the SQL stops after six, so it is the same only where no shortest path is longer."""
+    """Least path resistance to the nearest of a few nodes, over any number of links."""
     ports = t.customer.filter("c_custkey % 300 = 11").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
     return g.nearest_ports(thin(t), ports, 1, float("inf")).select("node", "r")
 
 
-@query(f"WITH {_PATHS}, {_rounds('c_custkey % 20 = 4', 6)}, k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY r, port) AS n FROM d6 WHERE r <= 40) SELECT node, port, CAST(r AS BIGINT) AS r FROM k WHERE n <= 2")
+@query(f"""WITH RECURSIVE {_PATHS}, reach(node, port, r) USING KEY (node, port) AS (
+    SELECT 'c' || c_custkey, 'c' || c_custkey, CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 20 = 4
+    UNION
+    SELECT e.v, d.port, CAST(min(d.r + e.r) AS BIGINT) FROM reach d JOIN e ON e.u = d.node LEFT JOIN recurring.reach o ON o.node = e.v AND o.port = d.port
+    WHERE d.r + e.r <= 40 AND (o.node IS NULL OR d.r + e.r < o.r) GROUP BY e.v, d.port),
+  k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY r, port) AS n FROM reach)
+SELECT node, port, r FROM k WHERE n <= 2""")
 def k_nearest_ports(t: Tables) -> DataFrame:
     ports = t.customer.filter("c_custkey % 20 = 4").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
     return g.nearest_ports(thin(t), ports, 2, 40.0)

@@ -73,10 +73,12 @@ def node_coordinates_unanchored(t: Tables) -> DataFrame:
     return t.solve_drops.select("drop_id", p["x"].alias("x"), p["y"].alias("y"))
 
 
-@query("""SELECT drop_id, nominal_voltage - voltage AS ir_drop, abs(nominal_voltage - voltage) AS abs_drop FROM solve_drops JOIN solve_runs USING (run_id)""")
+@query("""WITH v AS (SELECT drop_id, run_id, CASE WHEN NOT isnan(voltage) THEN voltage END AS voltage FROM solve_drops)
+SELECT drop_id, nominal_voltage - voltage AS ir_drop, abs(nominal_voltage - voltage) AS abs_drop FROM v JOIN solve_runs USING (run_id)""")
 def ir_drop_projection(t: Tables) -> DataFrame:
+    """The drop of each delivery; a voltage that is NaN is no reading, so its drop is NULL."""
     runs = t.solve_runs.select("run_id", "nominal_voltage")
-    d = F.col("nominal_voltage") - F.col("voltage")
+    d = F.col("nominal_voltage") - F.when(~F.isnan("voltage"), F.col("voltage"))
     return t.solve_drops.select("drop_id", "run_id", "voltage").join(runs, "run_id").select("drop_id", d.alias("ir_drop"), F.abs(d).alias("abs_drop"))
 
 

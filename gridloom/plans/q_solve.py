@@ -122,8 +122,8 @@ def reduced_rhs(t: Tables) -> DataFrame:
     return s.join(total, "block").select("port", F.round(F.col("g") / F.col("all") * (1 + F.col("block") % 9), 9).alias("b"))
 
 
-_SYSTEM = f"""{_STAMP}, d AS (SELECT i, g + CASE WHEN i[1] = 's' THEN 5000 ELSE 50 END AS d FROM m WHERE i = j), o AS (SELECT i, j, g FROM m WHERE i <> j), b AS (SELECT i, d, 1.0::DOUBLE + CAST(substr(i, 2) AS BIGINT) % 7 AS b FROM d),
-  x1 AS (SELECT i, b / d AS x FROM b)"""
+_SYSTEM = f"""{_STAMP}, d AS MATERIALIZED (SELECT i, g + CASE WHEN i[1] = 's' THEN 5000 ELSE 50 END AS d FROM m WHERE i = j), o AS MATERIALIZED (SELECT i, j, g FROM m WHERE i <> j), b AS MATERIALIZED (SELECT i, d, 1.0::DOUBLE + CAST(substr(i, 2) AS BIGINT) % 7 AS b FROM d),
+  x1 AS MATERIALIZED (SELECT i, b / d AS x FROM b)"""
 
 
 def _system(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +135,7 @@ def _system(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _sweep(k: int) -> str:
-    return f"x{k} AS (SELECT b.i, (b.b - coalesce(y, 0)) / b.d AS x FROM b LEFT JOIN (SELECT o.i, sum(o.g * x.x) AS y FROM o JOIN x{k - 1} x ON x.i = o.j GROUP BY 1) q ON q.i = b.i)"
+    return f"x{k} AS MATERIALIZED (SELECT b.i, (b.b - coalesce(y, 0)) / b.d AS x FROM b LEFT JOIN (SELECT o.i, sum(o.g * x.x) AS y FROM o JOIN x{k - 1} x ON x.i = o.j GROUP BY 1) q ON q.i = b.i)"
 
 
 @query(f"WITH {_SYSTEM}, {_sweep(2)}, {_sweep(3)}, {_sweep(4)} SELECT i AS node, round(x, 9) AS x FROM x4")
@@ -191,33 +191,37 @@ def quasi_static_drop(t: Tables) -> DataFrame:
     return solved.groupBy(F.col("s").alias("step")).agg(F.max("drop").alias("worst"), F.sum("drop").alias("total"), F.count(F.lit(1)).alias("nodes"))
 
 
-#: Days from which events are counted, and steps of a day.
-DAY0, STEPS = 19723, 40
-_DAILY = f"""d AS (SELECT user_id, CAST(epoch_us(ts) // 86400000000 - {DAY0} AS INTEGER) AS step, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS al,
-  CAST(sum(CASE WHEN event_type = 'click' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS near FROM events GROUP BY ALL),
-  g AS (SELECT u.user_id, k.step, coalesce(al, 0)::DOUBLE AS al, coalesce(near, 0)::DOUBLE AS near FROM (SELECT DISTINCT user_id FROM d) u CROSS JOIN (SELECT CAST(unnest(range({STEPS})) AS INTEGER) AS step) k LEFT JOIN d ON d.user_id = u.user_id AND d.step = k.step),
+_DAILY = """e AS (SELECT user_id, epoch_us(ts) // 86400000000 AS day, value, event_type FROM events WHERE ts IS NOT NULL), span AS (SELECT min(day) AS day0, max(day) - min(day) + 1 AS steps FROM e),
+  d AS (SELECT user_id, CAST(day - day0 AS INTEGER) AS step, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS al,
+  CAST(sum(CASE WHEN event_type = 'click' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS near FROM e, span GROUP BY ALL),
+  g AS (SELECT u.user_id, k.step, coalesce(al, 0)::DOUBLE AS al, coalesce(near, 0)::DOUBLE AS near FROM (SELECT DISTINCT user_id FROM d) u CROSS JOIN (SELECT CAST(unnest(range(steps)) AS INTEGER) AS step FROM span) k LEFT JOIN d ON d.user_id = u.user_id AND d.step = k.step),
   v AS (SELECT user_id, step, (al / 1.5)::DOUBLE AS v, (near / 1.5)::DOUBLE AS w FROM g WHERE step = 0
     UNION ALL SELECT g.user_id, g.step, (0.5::DOUBLE * v.v + g.al) / 1.5::DOUBLE, (0.5::DOUBLE * v.w + g.near) / 1.5::DOUBLE FROM v JOIN g ON g.user_id = v.user_id AND g.step = v.step + 1)"""
 
 
-def daily(t: Tables) -> DataFrame:
-    """user_id, step (day), al and near: an event's hundredths as current, summed for a day before any group is gathered."""
+def daily(t: Tables) -> tuple[DataFrame, int]:
+    """user_id, step (days from the first day of all events), al and near: an event's hundredths as current, summed for a day before any group is gathered; and the number of days."""
     cents = F.round(F.col("value") * 100).cast("bigint")
-    step = (F.floor(F.unix_timestamp("ts") / 86400) - DAY0).cast("int")
-    rows = t.events.select("user_id", step.alias("step"), cents.alias("c"), "event_type").filter(F.col("step").between(0, STEPS - 1))
-    return rows.groupBy("user_id", "step").agg(F.sum("c").cast("double").alias("al"), F.sum(F.when(F.col("event_type") == "click", F.col("c")).otherwise(0)).cast("double").alias("near"))
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    rows = t.events.filter("ts IS NOT NULL").select("user_id", day.alias("day"), cents.alias("c"), "event_type")
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    steps = last - first + 1 if first is not None else 0
+    sums = rows.groupBy("user_id", (F.col("day") - F.lit(first or 0)).cast("int").alias("step"))
+    return sums.agg(F.sum("c").cast("double").alias("al"), F.sum(F.when(F.col("event_type") == "click", F.col("c")).otherwise(0)).cast("double").alias("near")), steps
 
 
 @query(f"WITH RECURSIVE {_DAILY} SELECT user_id, step, round(v, 4) AS drop FROM v")
 def transient_rc(t: Tables) -> DataFrame:
     """Backward Euler for one RC node a user, a day a step."""
-    return so.step_rc(daily(t), "user_id", ["al"], STEPS, 1.0, 0.5).select("user_id", "step", F.round("al", 4).alias("drop"))
+    loads, steps = daily(t)
+    return so.step_rc(loads, "user_id", ["al"], steps, 1.0, 0.5).select("user_id", "step", F.round("al", 4).alias("drop"))
 
 
 @query(f"WITH RECURSIVE {_DAILY} SELECT user_id, round(max(v), 4) AS worst, round(max(w), 4) AS worst_near, round(max(v - w), 4) AS worst_far FROM v GROUP BY 1")
 def transient_masks(t: Tables) -> DataFrame:
     """All and near loads stepped together; far is their difference, as drops superpose."""
-    v = so.step_rc(daily(t), "user_id", ["al", "near"], STEPS, 1.0, 0.5)
+    loads, steps = daily(t)
+    v = so.step_rc(loads, "user_id", ["al", "near"], steps, 1.0, 0.5)
     return v.groupBy("user_id").agg(F.round(F.max("al"), 4).alias("worst"), F.round(F.max("near"), 4).alias("worst_near"), F.round(F.max(F.col("al") - F.col("near")), 4).alias("worst_far"))
 
 
@@ -311,10 +315,16 @@ def near_far_decomposition(t: Tables) -> DataFrame:
     return p.orderBy(F.desc("drop"), "node").limit(40).select("node", "drop", F.round(F.col("near").cast("double") / F.col("drop"), 9).alias("near_share"))
 
 
+#: Columns of a matrix whose products are gathered in one place; more are refused, none is dropped.
+MAX_COLUMNS = 200
+
+
 @query()
 def response_rank(t: Tables) -> DataFrame:
     """Singular values of the suppliers' response to each brand, with their share of the energy."""
-    brands = sorted(r.p_brand for r in t.part.select("p_brand").distinct().limit(200).collect())
+    brands = sorted(r.p_brand for r in t.part.select("p_brand").distinct().dropna().limit(MAX_COLUMNS + 1).collect())
+    if len(brands) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} brands: the matrix of products of columns would not fit one place")
     joined = t.lineitem.select("l_suppkey", "l_partkey", "l_quantity").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     h = joined.groupBy("l_suppkey").pivot("p_brand", brands).agg(F.sum("l_quantity")).na.fill(0.0)
     s = so.singular_values(h, "l_suppkey", brands)
@@ -381,7 +391,7 @@ def metric_series(t: Tables) -> DataFrame:
 def streamed_metrics(t: Tables) -> DataFrame:
     """The daily series made by a stream over the event files."""
     stream = monitor.read_stream(t.spark, f"{t.dir}/events.parque*", t.events)
-    return monitor.run_once(monitor.windowed_metrics(stream))
+    return monitor.run_once(monitor.windowed_metrics(stream), ["start", "event_type"])
 
 
 @query("""SELECT run_id, '{"run_id":' || run_id || ',"run_kind":"' || run_kind || '","n_steps":' || n_steps || '}' AS json FROM solve_runs""")

@@ -16,15 +16,25 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return whole.withColumn("line_no", F.col("line_no") + 1)
 
 
-def logical_lines(lines: DataFrame) -> DataFrame:
+#: Lines of a file that one window holds.
+BLOCK = 20_000
+
+
+def logical_lines(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """file_name, line_no (of the first part), text: comment and blank lines dropped, ``+`` lines joined, blanks collapsed, a trailing comment cut.
 
     A field ``*`` starts a comment; ``*node`` is a boundary mark and stays. A ``+`` line without a line before it stands alone.
+    A file is cut into blocks of lines, so a long file is the work of many tasks; the last line that starts before a
+    block is carried into it by a scan over blocks.
     """
     text = F.btrim(F.regexp_replace("raw_line", r"[ \t\r]+", " "), F.lit(" "))
     rows = lines.select("file_name", "line_no", text.alias("text")).filter((F.col("text") != "") & ~F.col("text").rlike(r"^\*"))
-    w = Window.partitionBy("file_name").orderBy("line_no")
-    rows = rows.withColumn("part", F.sum(F.when(F.col("text").startswith("+"), 0).otherwise(1)).over(w))
+    rows = rows.withColumn("block", F.floor(F.col("line_no") / block)).withColumn("start", F.when(~F.col("text").startswith("+"), F.col("line_no")))
+    before = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("file_name", "block").agg(F.max("start").alias("last")).select("file_name", "block", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("file_name", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part", F.max("start").over(inside)).join(carried, ["file_name", "block"])
+    rows = rows.withColumn("part", F.coalesce("part", "carried", F.lit(-1)))
     own = F.btrim(F.regexp_replace("text", r"^\+", ""), F.lit(" "))
     joined = rows.groupBy("file_name", "part").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", own.alias("t")))).alias("parts"))
     whole = F.array_join(F.transform("parts", lambda p: p["t"]), " ")
@@ -100,3 +110,37 @@ def pwl_literals(text: Column) -> Column:
     lists = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)pwl\(([^()]*)\)"), F.lit(1)), numbers)
     pairs = lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.size(x)), lambda i: (i % 2 == 0) & (i + 1 < F.size(x))), lambda i: F.struct(F.get(x, i).alias("t"), F.get(x, i + 1).alias("v")))
     return F.transform(lists, lambda x: F.array_sort(pairs(x)))
+
+
+def waveforms(text: Column) -> tuple[Column, Column]:
+    """The pulses and the piecewise linear waves of a current source, with the options after them applied.
+
+    ``pwl_period=``, ``pwl_delay=`` and ``sp=`` (the period of pulses) count for the waves that stand before them and
+    have none yet. Pulses: structs as of ``pulse_literals``; waves: ``points`` (t, v in order of time), ``period``,
+    ``delay``.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"(?i)(?<![^ ])(?:pulse\([^()]*\)|pwl\([^()]*\)|(?:pwl_period|pwl_delay|sp)=[^ ]+)"), F.lit(0))
+    placed = F.transform(tokens, lambda x, i: F.struct(i.alias("at"), x.alias("text")))
+
+    def later(name: str, at: Column) -> Column:
+        own = F.filter(placed, lambda o: (o["at"] > at) & F.lower(o["text"]).startswith(name + "="))
+        values = F.filter(F.transform(own, lambda o: spice_value(F.substring_index(o["text"], "=", -1))), lambda x: x.isNotNull() & (x != 0))
+        return F.coalesce(F.get(values, F.lit(0)), F.lit(0.0))
+
+    kind = lambda name: F.filter(placed, lambda o: F.lower(o["text"]).startswith(name + "("))
+    one = lambda found, o: F.get(found(o["text"]), F.lit(0))
+    pulses = F.transform(kind("pulse"), lambda o: one(pulse_literals, o).withField("period", F.when(one(pulse_literals, o)["period"] != 0, one(pulse_literals, o)["period"]).otherwise(later("sp", o["at"]))))
+    pwls = F.transform(kind("pwl"), lambda o: F.struct(one(pwl_literals, o).alias("points"), later("pwl_period", o["at"]).alias("period"), later("pwl_delay", o["at"]).alias("delay")))
+    return pulses, pwls
+
+
+def source_options(text: Column) -> dict[str, Column]:
+    """Options of voltage and current sources by name; NULL where a source has none."""
+    found = lambda p, k=1: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
+    number = lambda p, k=1: found(p, k).try_cast("double")
+    fsdb = r"(?i) fsdb ([^ ]+)(?: ([^ ]+))?(?: ([^ ]+))?"
+    return {
+        "ac": number(r"(?i) ac ([^ ]+)"), "portid": found(r"(?i) portid(?: [^ =]*)?=([^ ]+)"), "pwl_text": found(r"(?i) (pwl *\(.*)"),
+        "instance": found(r'(?i) inst="([^"]*)"'), "fsdb_path": found(fsdb), "fsdb_coeff": number(fsdb, 2), "fsdb_shift": number(fsdb, 3),
+        "inst_x": found(r"^[^ ]*?:([0-9]+)_([0-9]+):").cast("bigint"), "inst_y": found(r"^[^ ]*?:([0-9]+)_([0-9]+):", 2).cast("bigint"),
+    }

@@ -1,5 +1,10 @@
 import gzip
+import time
+from pathlib import Path
 
+import pytest
+
+from gridloom import session
 from gridloom.sources import netlist, sinks, synthetic
 from gridloom.streaming import monitor
 
@@ -54,11 +59,42 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"2024-01-0{1 + i % 5} 00:00:0{i % 10}", "click" if i % 3 else "view", i / 4) for i in range(60)]
     batch = spark.createDataFrame(rows, "event_id int, t string, event_type string, value double").selectExpr("event_id", "timestamp(t) ts", "event_type", "value")
     batch.repartition(3).write.parquet(str(tmp_path / "e"))
-    got = monitor.run_once(monitor.windowed_metrics(monitor.read_stream(spark, str(tmp_path / "e"), batch)))
+    got = monitor.run_once(monitor.windowed_metrics(monitor.read_stream(spark, str(tmp_path / "e"), batch)), ["start", "event_type"])
     want = batch.selectExpr("date_trunc('day', ts) start", "event_type", "value").groupBy("start", "event_type").agg({"value": "max", "*": "count"})
     assert {(r.start, r.event_type, r.n, r.most) for r in got.collect()} == {(r.start, r.event_type, r["count(1)"], r["max(value)"]) for r in want.collect()}
 
 
+def test_stream_leaves_out_late_rows(spark, tmp_path):
+    """Batches by file: a window gets its later rows while it is open; rows of a window that the watermark has passed are left out."""
+    days = ["2024-01-01", "2024-01-02", "2024-01-01", "2024-01-20", "2024-01-20", "2024-01-01", "2024-01-19"]
+    schema = "event_id int, t string, event_type string, value double"
+    for i, d in enumerate(days):
+        rows = spark.createDataFrame([(i, f"{d} 01:00:00", "click", float(i))], schema).selectExpr("event_id", "timestamp(t) ts", "event_type", "value")
+        rows.coalesce(1).write.parquet(str(tmp_path / "all" / f"{i}"))
+        time.sleep(0.05)  # files are taken in order of their times
+    like = spark.read.parquet(str(tmp_path / "all" / "0"))
+    got = monitor.run_once(monitor.windowed_metrics(monitor.read_stream(spark, str(tmp_path / "all" / "*"), like, 1)), ["start", "event_type"])
+    assert {(str(r.start)[:10], r.n, r.most) for r in got.collect()} == {("2024-01-01", 2, 2.0), ("2024-01-02", 1, 1.0), ("2024-01-20", 2, 4.0), ("2024-01-19", 1, 6.0)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Intermediate tables are deleted by drop and clear; on a cluster an unset folder is an error."""
+    scratch = session.Scratch(spark)
+    a, b = scratch.write(spark.range(3)), scratch.write(spark.range(4))
+    path = Path(scratch.root.removeprefix("file:"))
+    scratch.drop(a)
+    assert not (path / "0").exists() and b.count() == 4
+    session.clear(spark)
+    assert not path.exists()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://x"})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster())
+
+
 def test_write_table(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, i) for i in range(30)], "k int, v int")
     sinks.write_table(rows, str(tmp_path / "t"), ["k"])
