@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import layer_number
 from ..session import Scratch
+from .running import running
 
 
 def layer_pair(a: Column, b: Column) -> Column:
@@ -58,9 +59,9 @@ def orientation(segments: DataFrame, by: str, share: float = 0.7) -> DataFrame:
 
 def energy_ranks(spectrum: DataFrame, by: str, order: str, value: str, levels: list[float]) -> DataFrame:
     """For each group, the first rank (from 1) at which the running share of squares reaches each level. Values in order of size."""
-    w = Window.partitionBy(by).orderBy(F.desc(value), order)
-    rows = spectrum.select(by, order, value, F.row_number().over(w).alias("rank"), F.sum(F.col(value) * F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(by)).alias("all"))
-    return rows.groupBy(by).agg(*[F.min(F.when(F.col("run") >= x * F.col("all"), F.col("rank"))).alias(f"rank_{round(x * 100)}") for x in levels])
+    square = F.col(value) * F.col(value)
+    rows = running(spectrum.select(by, order, value), [by], [F.desc(value), F.asc(order)], {"run": square})
+    return rows.groupBy(by).agg(*[F.min(F.when(F.col("run") >= x * F.col("all_run"), F.col("rank"))).alias(f"rank_{round(x * 100)}") for x in levels])
 
 
 def balanced_slabs(loads: DataFrame, key: str, axis: str, parts: int, buckets: int = 1000) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .skew import hot_keys, with_salt
 
-#: Steps of one shard of a source.
-SHARD = 64
+#: Steps of one shard of a source; shards of one block.
+SHARD, BLOCK = 64, 256
 #: Seconds of a time unit.
 UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9, "ps": 1e-12}
 
@@ -38,7 +38,7 @@ def current_points(points: DataFrame, min_rows: int = 200_000) -> tuple[DataFram
     return out.filter(usable("sec") & usable("value")), hot
 
 
-def regular_grid(readings: DataFrame, sources: DataFrame, hot: DataFrame | None = None, shard: int = SHARD) -> DataFrame:
+def regular_grid(readings: DataFrame, sources: DataFrame, hot: DataFrame | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Each source on its own grid: one row for every step, with the steps that have no reading marked.
 
     ``readings``: source_id, _salt, sec, value. ``sources``: source_id (unique), delay, t_start, dt, n_steps; step k is
@@ -66,16 +66,25 @@ def regular_grid(readings: DataFrame, sources: DataFrame, hot: DataFrame | None
     entries = F.sort_array(F.collect_list(F.struct("step", "n", "first", "last")))
     shards = steps.groupBy("source_id", "shard").agg(entries.alias("entries"))
     summary = shards.select("source_id", "shard", F.element_at("entries", 1)["first"].alias("first"), F.element_at("entries", -1)["last"].alias("last"))
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_steps") - 1) / shard))).alias("shard")
-    frame = grid.select("source_id", "t_start", "dt", "n_steps", numbers)
-    # Both scans look back, the second in descending order: a frame that looks ahead would be summed anew for every row.
-    scan, back = (Window.partitionBy("source_id").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("shard"), F.desc("shard")))
-    carries = frame.select("source_id", "shard").join(summary, ["source_id", "shard"], "left")
-    carries = carries.select(
-        "source_id", "shard",
-        F.last("last", True).over(scan).alias("before"),
-        F.last("first", True).over(back).alias("after"),
+    # The shards of a source are listed block by block, so no row holds a list that grows with the grid.
+    last = F.floor((F.col("n_steps") - 1) / shard)
+    blocks = grid.select("source_id", "t_start", "dt", "n_steps", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block))).alias("block"))
+    numbers = F.explode(F.sequence(F.col("block") * block, F.least(F.col("block") * block + (block - 1), last))).alias("shard")
+    frame = blocks.select("source_id", "t_start", "dt", "n_steps", "block", numbers)
+    # Carries pass two scans: over the shards of a block, and over the blocks of a source that have readings. Both look
+    # back, the second of each in descending order: a frame that looks ahead would be summed anew for every row.
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside, along = Window.partitionBy("source_id", "block"), Window.partitionBy("source_id")
+    by_block = summary.groupBy("source_id", F.floor(F.col("shard") / block).alias("block")).agg(F.min("first").alias("b_first"), F.max("last").alias("b_last"))
+    listed = blocks.select("source_id", "block").join(by_block, ["source_id", "block"], "left")
+    carried = listed.select(
+        "source_id", "block", F.last("b_last", True).over(earlier(along.orderBy("block"))).alias("b_before"), F.last("b_first", True).over(earlier(along.orderBy(F.desc("block")))).alias("b_after"),
     )
+    carries = frame.select("source_id", "block", "shard").join(summary, ["source_id", "shard"], "left")
+    carries = carries.select(
+        "source_id", "block", "shard", F.last("last", True).over(earlier(inside.orderBy("shard"))).alias("before"), F.last("first", True).over(earlier(inside.orderBy(F.desc("shard")))).alias("after"),
+    ).join(carried, ["source_id", "block"])
+    carries = carries.select("source_id", "shard", F.coalesce("before", "b_before").alias("before"), F.coalesce("after", "b_after").alias("after"))
     whole = frame.join(shards, ["source_id", "shard"], "left").join(carries, ["source_id", "shard"])
     first = F.col("shard") * shard
     rows = whole.select("*", F.explode(F.sequence(first, F.least(first + shard, F.col("n_steps")) - 1)).alias("step"), F.map_from_entries(F.transform("entries", lambda e: F.struct(e["step"], e))).alias("by_step"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.values import layer_number, net_kind, node_place, node_place_anywhere
 from ..functions.waveforms import pulse_at, pulse_average, pwl_at, pwl_average
 from ..operators import aggregates as ag, relational as rel, tree as tr
+from ..operators.running import running
 from .registry import Tables, query
 from .views import LATTICE, MESH, SOLVED, THIN, TREE, lattice, mesh, thin, tree
 
@@ -252,8 +253,7 @@ def pad_edges(t: Tables) -> DataFrame:
 SELECT source_id, coalesce(k, -1) AS unknown FROM pwl_sources s JOIN solve_runs r USING (run_id) LEFT JOIN n ON n.design_id = r.design_id AND n.node = s.node""")
 def source_index_map(t: Tables) -> DataFrame:
     """The place of each source's node among the unknowns of its design, -1 if it is none."""
-    w = Window.partitionBy("design_id").orderBy("node")
-    n = t.grid_nodes.select("design_id", "node", (F.row_number().over(w) - 1).alias("k"))
+    n = running(t.grid_nodes.select("design_id", "node"), ["design_id"], [F.asc("node")]).select("design_id", "node", (F.col("rank") - 1).cast("int").alias("k"))
     runs = t.solve_runs.select("run_id", "design_id")
     return t.pwl_sources.select("source_id", "node", "run_id").join(runs, "run_id").join(n, ["design_id", "node"], "left").select("source_id", F.coalesce("k", F.lit(-1)).alias("unknown"))
 
@@ -276,6 +276,15 @@ def package_statistics(t: Tables) -> DataFrame:
     return rows.groupBy(F.coalesce(F.upper(F.trim("net_name")), F.lit("none")).alias("net")).agg(F.count(F.lit(1)).alias("elements"), F.count("elem_value").alias("with_value"))
 
 
+@query(f"""WITH {_ONCE}, x AS (SELECT coalesce(upper(trim(net_name)), 'none') AS net, upper(trim(elem_type)) AS kind, CASE WHEN upper(trim(elem_type)) = 'I' THEN abs(elem_value) ELSE elem_value END AS amount FROM once WHERE file_type = 'package')
+SELECT net, kind, count(*) AS n, round(sum(amount), 6) AS total FROM x GROUP BY ALL""")
+def package_totals(t: Tables) -> DataFrame:
+    """Package elements of each net by type: how many, and their summed values (current sources by amount)."""
+    kind = F.upper(F.trim("elem_type"))
+    rows = _once(t).filter("file_type = 'package'").select(F.coalesce(F.upper(F.trim("net_name")), F.lit("none")).alias("net"), kind.alias("kind"), F.when(kind == "I", F.abs("elem_value")).otherwise(F.col("elem_value")).alias("amount"))
+    return rows.groupBy("net", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 6).alias("total"))
+
+
 @query(f"""WITH {_ENDS}, x AS (SELECT e.design_id, upper(p.layer) AS p, upper(q.layer) AS q FROM ends e JOIN grid_nodes p ON p.node_id = a JOIN grid_nodes q ON q.node_id = b WHERE upper(trim(elem_type)) = 'R' AND p.layer IS NOT NULL AND q.layer IS NOT NULL)
 SELECT design_id, CASE WHEN p = q THEN p WHEN CAST(substr(p, 2) AS INTEGER) > CAST(substr(q, 2) AS INTEGER) THEN q || '-' || p ELSE p || '-' || q END AS layers, count(*) AS n FROM x GROUP BY ALL""")
 def net_layer_counts(t: Tables) -> DataFrame:
@@ -419,8 +428,7 @@ SELECT design_id, CAST(k // ((n + 7) // 8) AS BIGINT) AS stripe_group, count(*)
 def consolidated_stripes(t: Tables) -> DataFrame:
     """Consecutive stripes of a design merged into eight groups at most."""
     s = t.grid_nodes.filter("y IS NOT NULL").select("design_id", "y").distinct()
-    w = Window.partitionBy("design_id")
-    r = s.withColumn("k", F.row_number().over(w.orderBy("y")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    r = running(s, ["design_id"], [F.asc("y")]).withColumn("k", F.col("rank") - 1).withColumnRenamed("group_rows", "n")
     return r.groupBy("design_id", F.expr("k div ((n + 7) div 8)").cast("bigint").alias("stripe_group")).agg(F.count(F.lit(1)).alias("stripes"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
@@ -540,10 +548,16 @@ def parse_tilings(t: Tables) -> DataFrame:
     return rows.select("design_id", F.split("s", "x")[0].cast("int").alias("nx"), F.split("s", "x")[1].cast("int").alias("ny"))
 
 
+#: Points of a packed array.
+PACKED = 1024
+
+
 @query(f"WITH {_WAVE} SELECT user_id, count(*) AS points, min(s) AS first_s, max(s) AS last_s, round(sum(value), 6) AS total FROM w GROUP BY 1")
 def flatten_waveforms(t: Tables) -> DataFrame:
-    """Waves packed as arrays, and their offsets and counts read back."""
-    packed = waves(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("t"), F.col("value").alias("v")))).alias("w"))
+    """Waves packed as arrays of at most PACKED points, numbered within their wave, and their counts read back; so a wave of any length is no single row."""
+    piece = F.floor((F.col("rank") - 1) / PACKED).alias("piece")
+    ordered = running(waves(t), ["user_id"], [F.asc("s"), F.asc("value")])
+    packed = ordered.groupBy("user_id", piece).agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("t"), F.col("value").alias("v")))).alias("w"))
     flat = packed.select("user_id", F.posexplode("w").alias("k", "p"))
     return flat.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.min("p.t").alias("first_s"), F.max("p.t").alias("last_s"), F.round(F.sum("p.v"), 6).alias("total"))
 

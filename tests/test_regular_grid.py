@@ -10,9 +10,9 @@ POINTS = "point_id bigint, source_id bigint, seq int, t double, t_unit string, a
 SOURCES = "source_id bigint, delay double, t_start double, dt double, n_steps int"
 
 
-def grid(spark, points, sources, min_rows=200_000, shard=64):
+def grid(spark, points, sources, min_rows=200_000, shard=64, block=256):
     readings, hot = current_points(spark.createDataFrame(points, POINTS), min_rows)
-    return regular_grid(readings, spark.createDataFrame(sources, SOURCES), hot, shard)
+    return regular_grid(readings, spark.createDataFrame(sources, SOURCES), hot, shard, block)
 
 
 def brute(points, sources):
@@ -55,14 +55,14 @@ def test_against_brute_force(spark):
         points.append((i, r.choice([0, 0, 0, 1, 2, 3, 4, 5, 90, None]), r.choice([None, *range(60)]), r.choice([None, float("nan"), *[t * factor] * 8]), u, r.choice([None, float("nan"), *[float(r.randint(0, 9))] * 8]), r.choice([None, when + dt.timedelta(seconds=r.randint(0, 9))]), 1.0))
     points += points[:30]
     want = brute(points, sources)
-    for min_rows, shard in ((200_000, 64), (20, 4)):
-        got = {(x.source_id, x.step): (x.n_readings, x.value, x.mark, x.filled) for x in grid(spark, points, sources, min_rows, shard).collect()}
+    for min_rows, shard, block in ((200_000, 64, 256), (20, 4, 3), (20, 1, 5)):
+        got = {(x.source_id, x.step): (x.n_readings, x.value, x.mark, x.filled) for x in grid(spark, points, sources, min_rows, shard, block).collect()}
         assert got == want
 
 
 def test_linear(spark):
     points = [(1, 1, 1, 0.5, "s", 1.0, None, None), (2, 1, 2, 4.5, "s", 5.0, None, None)]
-    rows = grid(spark, points, [(1, None, 0.0, 1.0, 6)], shard=2).orderBy("step").collect()
+    rows = grid(spark, points, [(1, None, 0.0, 1.0, 6)], shard=2, block=2).orderBy("step").collect()
     assert [x.linear for x in rows] == [1.0, 1.5, 2.5, 3.5, 4.5, 5.0]
     assert [x.filled for x in rows] == [1.0, 1.0, 1.0, 1.0, 5.0, 5.0]
 
