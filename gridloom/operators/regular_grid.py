@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import Scratch
 from .skew import hot_keys, with_salt
 
 #: Steps of one shard of a source; shards of one block.
@@ -64,7 +65,7 @@ def regular_grid(readings: DataFrame, sources: DataFrame, hot: DataFrame | None
     local = local.withColumn("shard", F.floor(F.col("step") / shard)).repartition("source_id", "shard")
     steps = local.groupBy("source_id", "shard", "step").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     entries = F.sort_array(F.collect_list(F.struct("step", "n", "first", "last")))
-    shards = steps.groupBy("source_id", "shard").agg(entries.alias("entries"))
+    shards = Scratch(readings.sparkSession).write(steps.groupBy("source_id", "shard").agg(entries.alias("entries")))  # read by both scans and the fill
     summary = shards.select("source_id", "shard", F.element_at("entries", 1)["first"].alias("first"), F.element_at("entries", -1)["last"].alias("last"))
     # The shards of a source are listed block by block, so no row holds a list that grows with the grid.
     last = F.floor((F.col("n_steps") - 1) / shard)
