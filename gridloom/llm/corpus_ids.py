@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.skew import MAX_HOT
 from ..session import Scratch
 
 #: Fixed value: the pattern that splits text before the merges of byte_bpe_50k.
@@ -22,6 +23,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters after which a chunk is closed; a longer text is a chunk of its own.
 CHUNK_CHARS = 4_000_000
+#: Chunks of a word, at least, from which it is joined by a broadcast.
+HOT_CHUNKS = 200_000
 
 
 def tokenizer_path(spark) -> str:
@@ -29,9 +32,19 @@ def tokenizer_path(spark) -> str:
     return spark.conf.get("spark.gridloom.tokenizers", "/opt/tokenizers")
 
 
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
+
+
+def _shared(spark: SparkSession, path: str):
+    """A vocabulary file, read by the driver and broadcast: its size doesn't depend on the corpus, and executors need no copy of it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def _splitter():
@@ -91,17 +104,28 @@ def pretokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """``word`` with its ``ids``; each word is encoded by the merges alone, as a pre-token is."""
+    """The rows of ``words`` with the ``ids`` of ``word``; each word is encoded by the merges alone, as a pre-token is."""
+    ranks = _shared(words.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+        enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=parse_ranks(ranks.value), special_tokens={})
         for b in batches:
             ids = [enc._core_bpe.encode_single_piece(w.encode()) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "chunks", "ids"])
+
+    return words.select("word", "chunks").mapInArrow(run, "word string, chunks bigint, ids array<int>")
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+def _join_words(vocabulary: DataFrame, words: DataFrame, most: int, total: int) -> DataFrame:
+    """``vocabulary`` with the columns of ``words``. A word of very many chunks doesn't meet them in one task: there are fewer than MAX_HOT such words, which are broadcast."""
+    limit = max(HOT_CHUNKS, total // MAX_HOT)
+    if most <= limit:
+        return vocabulary.join(words.drop("chunks"), "word")
+    hot = F.broadcast(words.filter(F.col("chunks") > limit).drop("chunks"))
+    rare = vocabulary.join(hot.select("word"), "word", "left_anti").join(words.filter(F.col("chunks") <= limit).drop("chunks"), "word")
+    return rare.unionByName(vocabulary.join(hot, "word"))
 
 
 def encode_corpus(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", counts_only: bool = False) -> DataFrame:
@@ -113,10 +137,11 @@ def encode_corpus(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: s
     scratch = Scratch(docs.sparkSession)
     chunks = scratch.write(pretokens(docs, key, text))
     vocabulary = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    words = encode_words(vocabulary.select("word").distinct(), ranks_path)
+    distinct = vocabulary.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+    words, (most, rows) = scratch.write_and_sum(encode_words(distinct, ranks_path), F.max("chunks"), F.sum("chunks"))
     value = F.size("ids").alias("n") if counts_only else F.col("ids")
     name = "n" if counts_only else "ids"
-    back = vocabulary.join(words.select("word", value), "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", name))).alias("table"))
+    back = _join_words(vocabulary, words.select("word", "chunks", value), most or 0, rows or 0).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", name))).alias("table"))
     met = chunks.select("chunk", "keys", "lengths", "codes").join(back, "chunk", "left").select("keys", "lengths", "codes", "table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +176,10 @@ def encode_corpus(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: s
 def decode_corpus(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, text: the bytes of the ids, from the token-byte table, in order. A list without ids gives the empty text, a NULL list NULL."""
 
+    shared = _shared(encoded.sparkSession, ranks_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(ranks_path)
+        ranks = parse_ranks(shared.value)
         table: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for x, r in ranks.items():
             table[r] = x

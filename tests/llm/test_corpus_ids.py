@@ -22,8 +22,9 @@ def test_ids_and_round_trip(spark, monkeypatch):
     enc = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=load_ranks(RANKS), special_tokens={})
     rows = [(i, t, None, "x") for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, words string").repartition(3)
-    for limit in (corpus_ids.CHUNK_CHARS, 500):
+    for limit, hot in ((corpus_ids.CHUNK_CHARS, corpus_ids.HOT_CHUNKS), (500, 3)):
         monkeypatch.setattr(corpus_ids, "CHUNK_CHARS", limit)
+        monkeypatch.setattr(corpus_ids, "HOT_CHUNKS", hot)
         encoded = encode_corpus(df, RANKS)
         got = {r.doc_id: list(r.ids) for r in encoded.collect()}
         assert got == {i: enc.encode_ordinary(t or "") for i, t, *_ in rows}
