@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import layer_number
-from ..operators import graph as g, relational as rel
+from ..operators import graph as g, relational as rel, tiles as tl
 from .q_relational import _ENDS, _once, layer_split_ports
 from .registry import Tables, query
 from .views import MESH, THIN, mesh, thin
@@ -179,3 +179,14 @@ def tile_port_connectivity(t: Tables) -> DataFrame:
         n("role = 'core'").alias("core"), n("state = 'floating'").alias("floating"), n("role = 'halo' AND state = 'linked'").alias("halo"), n("state = 'dropped'").alias("halo_dropped"),
         n("role = 'halo' AND added").alias("halo_added"), n("role = 'port'").alias("ports"), n("role = 'port' AND added").alias("ports_added"),
     ).select("tile.*", "core", "floating", "halo", "halo_dropped", "halo_added", "ports", "ports_added")
+
+
+@query()
+def grown_tile_assignment(t: Tables) -> DataFrame:
+    """Every placed node below layer 3 in one of 4 by 3 tiles of its design, after tiles with few ports have grown and tiles without a source have been taken in."""
+    places = t.grid_nodes.select("design_id", "node_id", "node", "x", "y", "layer").dropna(subset=["x", "y"])
+    ports = places.join(layer_split_ports(t).withColumnRenamed("port", "node_id"), "node_id", "left_semi")
+    runs = t.solve_runs.select("run_id", "design_id")
+    loads = places.join(t.pwl_sources.select("run_id", "node").join(runs, "run_id"), ["design_id", "node"], "left_semi")
+    grown = tl.grow(tl.uniform_tiles(places, "design_id", 4, 3), ports, "design_id", 4, 3)
+    return tl.shared_out(tl.merge_loadless(grown, loads, "design_id", 4, 3), places.filter(_below()), "design_id", "node_id")
