@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.bad_rows import classify, number, parse_lines
+from ..operators.bad_rows import SCALE, classify, number, parse_lines
 from ..operators.regular_grid import current_points, regular_grid
 from ..session import table
 
@@ -101,4 +101,10 @@ SELECT source_id, CAST(step AS INTEGER) AS step, n_readings, value, filled,
   tiles AS (SELECT c.design_id, count(n.tile) AS tiles_parsed, count(*) - count(n.tile) AS tiles_failed FROM files c LEFT JOIN files n ON n.design_id = c.design_id AND n.tile = c.tile AND n.kind = 'nd' WHERE c.kind = 'ckt' GROUP BY 1)
 SELECT design_id, coalesce(elements_total, 0) AS elements_total, coalesce(elements_removed, 0) AS elements_removed, coalesce(nodes_removed, 0) AS nodes_removed, coalesce(tiles_parsed, 0) AS tiles_parsed, coalesce(tiles_failed, 0) AS tiles_failed
 FROM counts FULL JOIN tiles USING (design_id)""",
+    "p3_loaded": rf"""WITH lines AS (SELECT * FROM netlist_lines), {_JUDGED}, good AS (SELECT *, CASE WHEN kind <> 'nd' THEN f[4] END AS raw_value FROM judged WHERE reason IS NULL)
+SELECT line_id, design_id, file_name, line_no, kind, CASE WHEN kind <> 'nd' THEN f[1] END AS name, CASE kind WHEN 'nd' THEN f[1] ELSE f[2] END AS u, CASE WHEN kind <> 'nd' THEN f[3] END AS v,
+  CASE lower(raw_value) WHEN 'vdd' THEN 0.75::DOUBLE WHEN 'vss' THEN 0.0::DOUBLE ELSE CAST(nullif(regexp_extract(raw_value, '^({_NUM})', 1), '') AS DOUBLE)
+    * CASE lower(regexp_replace(raw_value, '^{_NUM}', '')) {" ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in SCALE.items())} ELSE 1.0::DOUBLE END END AS value,
+  CASE kind WHEN 'nd' THEN f[6] END AS net,
+  list_transform(opts, lambda o: CASE WHEN regexp_matches(o, '(?is)^(pulse|pwl)[(].*[)]$') THEN regexp_extract(o, '^([A-Za-z]+[(])', 1) || array_to_string({_LIST_ITEMS}, ',') || ')' ELSE o END) AS options FROM good""",
 }
