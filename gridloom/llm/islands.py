@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..operators.skew import hot_keys, with_salt
 from ..session import Scratch
 
-#: Rows up to which a table of vertices is broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows up to which a table of vertices is broadcast; rows of one vertex, two integers each, that make up a partition of Spark's advised 64 MB.
+BROADCAST_ROWS, PARTITION_ROWS = 50_000, 4_000_000
 
 
 def _pair(v: str, u: str) -> Column:
@@ -52,7 +52,7 @@ class _Clusters:
         return [F.sum(F.when(F.col("v") != F.col("m"), 1).otherwise(0)), F.sum(F.when(F.col("v") == F.col("m"), 1).otherwise(0))]
 
 
-def hash_to_min(vertices: DataFrame, links: DataFrame, min_rows: int = 2_000_000, max_rounds: int = 200, known: bool = False) -> DataFrame:
+def hash_to_min(vertices: DataFrame, links: DataFrame, min_rows: int = PARTITION_ROWS, max_rounds: int = 200, known: bool = False) -> DataFrame:
     """Each vertex with the least vertex that is linked to it directly or indirectly: id, group_id.
 
     ``vertices``: id BIGINT. ``links``: a, b BIGINT. A link with a NULL end, or an end that is no vertex, links nothing;
@@ -62,7 +62,7 @@ def hash_to_min(vertices: DataFrame, links: DataFrame, min_rows: int = 2_000_000
     Each round every vertex sends its cluster to the cluster's least member, and that member to all others, until no
     cluster changes. A vertex that knows only its minimum sends nothing, as the minimum holds it. A group is settled
     when all members of its least vertex know nothing else; settled groups are set aside when the rows of unsettled
-    vertices have halved. When no vertex but the least of each group holds a cluster, everything is settled. One
+    vertices have halved. Vertices of more than ``min_rows`` rows are dealt to salts. When no vertex but the least of each group holds a cluster, everything is settled. One
     exchange a round.
     """
     scratch = Scratch(vertices.sparkSession)

@@ -32,7 +32,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of grid_nodes with the smallest node_id that resistive elements link it to."""
     nodes = table(spark, sf_dir, "grid_nodes").select("node_id", "design_id", node_key(F.col("node")).alias("name"))
     elements = table(spark, sf_dir, "grid_elements").filter((F.upper(F.trim("elem_type")) == "R") & F.col("elem_value").isNotNull())
-    ends = elements.select("design_id", node_key(F.col("u")).alias("u"), node_key(F.col("v")).alias("v")).filter("u <> '0' and v <> '0' and u <> v")
+    inner = elements.filter(~F.col("u").isin("0", "*0") & ~F.col("v").isin("0", "*0"))
+    ends = inner.select("design_id", node_key(F.col("u")).alias("u"), node_key(F.col("v")).alias("v"))
     at_u = nodes.select("design_id", F.col("name").alias("u"), F.col("node_id").alias("a"))
     at_v = nodes.select("design_id", F.col("name").alias("v"), F.col("node_id").alias("b"))
     links = ends.join(at_u, ["design_id", "u"]).join(at_v, ["design_id", "v"]).select("a", "b")
