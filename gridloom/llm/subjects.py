@@ -7,6 +7,7 @@ documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,8 @@ MIN_PARAGRAPHS, COUNTS, MOVES = 3, 0.35, 0.4
 BLOCK = 512
 #: Fixed value: words; runs of Han, Katakana and Hiragana are words of their own, as are some signs.
 WORD = r"\p{Han}+|[\p{Katakana}ー]+|\p{Hiragana}+|[^\W\d_\p{Han}\p{Katakana}\p{Hiragana}]+|[§%→°]"
+#: The same where there are only ASCII letters, in lower case.
+ASCII_WORD = "[a-z]+|%"
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
@@ -34,14 +37,14 @@ def document_terms(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, known = regex.compile(WORD).findall, {}
+        find, plain, known = regex.compile(WORD).findall, re.compile(ASCII_WORD).findall, {}
         for b in batches:
             lengths, terms = [], []
             for raw, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 own, flat = [], []
                 for p in paragraphs(raw, text):
                     places = set()
-                    for w in set(find(p.lower())):
+                    for w in set((plain if p.isascii() else find)(p.lower())):
                         h = known.get(w)
                         if h is None:
                             h = zlib.crc32(w.encode()) % DIMS

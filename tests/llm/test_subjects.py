@@ -1,6 +1,9 @@
 import random
+import re
 
 import pytest
+import regex
+from hypothesis import given, settings, strategies as st
 
 from gridloom.llm import subjects
 from gridloom.llm.pages import decode, paragraphs
@@ -50,6 +53,12 @@ def test_empty(spark, docs, labels):
     assert subjects_of(df, lab, ["law"]).count() == 0
 
 
+@given(st.text(st.characters(max_codepoint=127), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_words_of_ascii_text(text):
+    assert re.findall(subjects.ASCII_WORD, text.lower()) == regex.findall(subjects.WORD, text.lower())
+
+
 def test_pages():
     raw = "<html><nav><a>menu</a></nav><h1>T</h1><p class='c'>Öl &amp; <b>Salz</b></p><div>zwei</div><ul><li><p>no</p></li></ul><footer><p>no</p></footer></html>"
     assert paragraphs(raw.encode(), "t") == ["Öl &  Salz", "zwei"]
