@@ -18,11 +18,12 @@ def hierarchical(edges: DataFrame, split: int, levels: int) -> DataFrame:
     ports = below.filter(F.col("level") == split + 1).groupBy(F.col("parent").alias("node")).agg(F.sum("i").alias("_i"))
     top = edges.filter(F.col("level") <= split).join(ports, "node", "left")
     top = solve_tree(top.withColumn("amps", F.col("amps") + F.coalesce("_i", F.lit(0))).drop("_i"), split)
-    if levels - split != 1:
-        raise ValueError("the bottom has one level here")
-    fixed = top.filter(F.col("level") == split).select(F.col("node").alias("parent"), F.col("drop").alias("_d"))
-    rest = below.join(fixed, "parent").withColumn("drop", F.col("drop") + F.col("_d")).select(top.columns)
-    return top.unionByName(rest)
+    out, above = top, top.filter(F.col("level") == split).select(F.col("node").alias("parent"), F.col("drop").alias("_d"))
+    for level in range(split + 1, levels + 1):
+        rows = below.filter(F.col("level") == level).join(above, "parent")
+        out = out.unionByName(rows.withColumn("drop", F.col("drop") + F.col("_d")).select(top.columns))
+        above = rows.select(F.col("node").alias("parent"), "_d")
+    return out
 
 
 def coupled(edges: DataFrame, levels: int = 3) -> DataFrame:
@@ -107,6 +108,16 @@ def schur_diagonal(stars: DataFrame) -> DataFrame:
     return stars.join(total, "block").select("block", "port", (F.col("g") - F.col("g") * F.col("g") / F.col("all")).alias("s"))
 
 
+def schur_product(stars: DataFrame, x: DataFrame) -> DataFrame:
+    """block, port, y = S x, with S the whole Schur complement of each star's ports, which is never listed: an entry (p, q) off its diagonal is -g_p g_q / sum(g).
+
+    ``stars``: block, port, g; ``x``: block, port, x, one row at most for a port; a port without one has 0.
+    """
+    rows = stars.join(x.select("block", "port", "x"), ["block", "port"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    centre = rows.groupBy("block").agg((F.sum(F.col("g") * F.col("x")) / F.sum("g")).alias("c"))
+    return rows.join(centre, "block").select("block", "port", (F.col("g") * (F.col("x") - F.col("c"))).alias("y"))
+
+
 def singular_values(rows: DataFrame, key: str, columns: list[str]) -> list[float]:
     """Singular values of a tall matrix with a fixed, small list of columns: its Gram matrix is one aggregation, its spectrum a small local one."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.values import layer_number
+from ..functions.values import layer_number, node_place
 from ..operators import graph as g, relational as rel, tiles as tl
-from .q_relational import _ENDS, _once, layer_split_ports
+from .q_relational import _ENDS, _PLACE, _once, layer_split_ports
 from .registry import Tables, query
 from .views import MESH, THIN, mesh, thin
 
@@ -108,6 +108,49 @@ def partition_components(t: Tables) -> DataFrame:
     return g.components(inside).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+_SIDES = f"""{_ENDS}, n AS (SELECT node_id, TRY_CAST(nullif(regexp_extract(coalesce(layer, nullif(regexp_extract(node, {_PLACE}, 3), '')), '([0-9]+)', 1), '') AS INTEGER) AS num FROM grid_nodes),
+  res AS (SELECT a AS u, b AS v, p.num AS pn, q.num AS qn FROM ends JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b WHERE upper(trim(elem_type)) = 'R' AND a <> b)"""
+
+
+def _layers(t: Tables) -> DataFrame:
+    """node_id, num: the number of each node's layer, given or from its name."""
+    return t.grid_nodes.select("node_id", layer_number(F.coalesce("layer", node_place(F.col("node"))["layer"])).alias("num"))
+
+
+def _resistors(t: Tables) -> DataFrame:
+    """u, v, pn, qn: resistors between nodes on file, with the numbers of both layers."""
+    e = rel.with_ends(rel.of_type(_once(t), "R"), t.grid_nodes).filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    at = lambda end, num: _layers(t).select(F.col("node_id").alias(end), F.col("num").alias(num))
+    return e.join(at("u", "pn"), "u").join(at("v", "qn"), "v")
+
+
+@query(f"""WITH RECURSIVE {_SIDES}, e AS (SELECT u, v FROM res WHERE (pn IS NULL OR qn IS NULL) AND coalesce(pn, 3) >= 3 AND coalesce(qn, 3) >= 3), two AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+  reach(id) AS (SELECT node_id FROM n WHERE num >= 3 UNION SELECT v FROM reach JOIN two ON u = id)
+SELECT node_id, CASE WHEN num >= 3 THEN 'top' WHEN num < 3 THEN 'bottom' WHEN node_id IN (SELECT id FROM reach) THEN 'top' ELSE 'none' END AS side FROM n""")
+def layer_split_sides(t: Tables) -> DataFrame:
+    """The side of the split at layer 3 that each node is on; a node without a layer joins the top if resistors over such nodes lead there."""
+    top = lambda c: F.coalesce(c, F.lit(3)) >= 3
+    e = _resistors(t).filter("pn IS NULL OR qn IS NULL").filter(top("pn") & top("qn"))
+    labels = g.components(e.select("u", "v")).join(_layers(t).withColumnRenamed("node_id", "node"), "node")
+    led = labels.filter("num IS NOT NULL").select("component").distinct()
+    joined = labels.filter("num IS NULL").join(led, "component", "left_semi").select(F.col("node").alias("node_id"), F.lit("top").alias("led"))
+    side = F.when(F.col("num") >= 3, "top").when(F.col("num") < 3, "bottom").otherwise(F.coalesce("led", F.lit("none")))
+    return _layers(t).join(joined, "node_id", "left").select("node_id", side.alias("side"))
+
+
+@query(f"""WITH RECURSIVE {_SIDES}, port AS (SELECT DISTINCT CASE WHEN pn >= 3 THEN u ELSE v END AS id FROM res WHERE (pn >= 3) <> (qn >= 3)),
+  e AS (SELECT u, v FROM res WHERE u NOT IN (SELECT id FROM port) AND v NOT IN (SELECT id FROM port)), two AS (SELECT u, v FROM e UNION SELECT v, u FROM e), vertex AS (SELECT DISTINCT u AS node FROM two),
+  reach(node, component) USING KEY (node) AS (SELECT node, node FROM vertex UNION
+    SELECT t.v, min(r.component) FROM reach r JOIN two t ON t.u = r.node JOIN recurring.reach o ON o.node = t.v WHERE r.component < o.component GROUP BY t.v)
+SELECT component, count(*) AS nodes FROM reach GROUP BY 1""")
+def split_network_components(t: Tables) -> DataFrame:
+    """What the resistors still join once the ports of the split at layer 3 are taken out: each component's least node and size."""
+    e = _resistors(t)
+    port = e.filter((F.col("pn") >= 3) != (F.col("qn") >= 3)).select(F.when(F.col("pn") >= 3, F.col("u")).otherwise(F.col("v")).alias("id")).distinct()
+    rest = e.join(port.withColumnRenamed("id", "u"), "u", "left_anti").join(port.withColumnRenamed("id", "v"), "v", "left_anti")
+    return g.components(rest.select("u", "v")).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query(f"""WITH {_ENDS} SELECT design_id, count(*) FILTER (upper(trim(elem_type)) = 'R' AND elem_value < 1e-6::DOUBLE) AS shorts, count(*) FILTER (u = v) AS loops,
   count(*) FILTER (a IS NULL AND ltrim(u, '*') <> '0') AS unknown_u, count(*) FILTER (ltrim(v, '*') = '0' OR ltrim(u, '*') = '0') AS at_ground, count(*) FILTER (elem_value IS NULL) AS without_value FROM ends GROUP BY 1""")
 def netlist_lint(t: Tables) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators import aggregates as ag, linear as la, relational as rel, solvers as so, tree as tr
 from ..functions.elements import conductance
 from ..operators.model import network_drop
-from ..sources.sinks import as_json, worst_report
+from ..operators.running import running
+from ..sources.sinks import as_json, as_nested_json, worst_report
 from ..streaming import monitor
+from .q_relational import PACKED
 from .registry import Tables, query
 from .views import LATTICE, MESH, SOLVED, TREE, lattice, mesh, thin, tree
 
@@ -114,6 +116,15 @@ def schur_complement(t: Tables) -> DataFrame:
     return so.schur_diagonal(stars(t)).select("block", "port", F.round("s", 9).alias("s"))
 
 
+@query(f"""WITH {_STAR}, p AS (SELECT block, port, g, (port % 10)::DOUBLE AS x FROM star), c AS (SELECT block, sum(g * x) AS gx FROM p GROUP BY 1)
+SELECT block, port, round(g * x - g * gx / al, 6) AS y FROM p JOIN a USING (block) JOIN c USING (block)""")
+def schur_product(t: Tables) -> DataFrame:
+    """The Schur complement of every star, all its entries, times a vector."""
+    s = stars(t)
+    x = s.select("block", "port", (F.col("port") % 10).cast("double").alias("x"))
+    return so.schur_product(s, x).select("block", "port", F.round("y", 6).alias("y"))
+
+
 @query(f"WITH {_STAR} SELECT port, round(g / al * (1 + block % 9), 9) AS b FROM star JOIN a USING (block)")
 def reduced_rhs(t: Tables) -> DataFrame:
     """The current of each star's centre condensed to its ports."""
@@ -399,6 +410,27 @@ def run_json(t: Tables) -> DataFrame:
     return as_json(t.solve_runs.select("run_id", "run_kind", "n_steps"), "run_id")
 
 
+_LATEST = """w AS (SELECT source_id, seq, CASE WHEN isfinite(amps_ma) THEN CAST(round(amps_ma * 1000) AS BIGINT) END AS ua, row_number() OVER (PARTITION BY source_id, seq ORDER BY arrived_at DESC NULLS LAST, point_id DESC) AS n FROM pwl_points WHERE seq IS NOT NULL)"""
+
+
+@query(f"""WITH {_LATEST}, r AS (SELECT source_id, seq, ua, (row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1) // 1024 AS piece FROM w WHERE n = 1),
+  p AS (SELECT source_id, piece, list({{'seq': seq, 'microamps': ua}} ORDER BY seq) AS waveform FROM r GROUP BY 1, 2)
+SELECT source_id, coalesce(piece, 0) AS piece, CAST(to_json({{'source_id': source_id, 'node': node, 'run': {{'run_id': run_id, 'n_steps': n_steps}}, 'waveform': coalesce(waveform, [])}}) AS VARCHAR) AS json
+FROM pwl_sources s JOIN solve_runs USING (run_id) LEFT JOIN p USING (source_id)""")
+def waveform_json(t: Tables) -> DataFrame:
+    """Every source as a nested JSON object with its run and its wave; a wave of more than PACKED points is several objects, numbered by piece."""
+    amps = F.when(F.abs("amps_ma") < float("inf"), F.round(F.col("amps_ma") * 1000).cast("bigint"))
+    points = t.pwl_points.filter("seq IS NOT NULL").select("source_id", "seq", "arrived_at", "point_id", amps.alias("microamps"))
+    last = points.groupBy("source_id", "seq").agg(F.max_by("microamps", F.struct("arrived_at", "point_id")).alias("microamps"))
+    piece = F.floor((F.col("rank") - 1) / PACKED).alias("piece")
+    waves = running(last, ["source_id"], [F.asc("seq")]).groupBy("source_id", piece).agg(F.sort_array(F.collect_list(F.struct("seq", "microamps"))).alias("waveform"))
+    runs = t.solve_runs.select("run_id", "n_steps")
+    rows = t.pwl_sources.select("source_id", "node", "run_id").join(runs, "run_id").join(waves, "source_id", "left")
+    empty = F.array().cast(waves.schema["waveform"].dataType)
+    rows = rows.select("source_id", F.coalesce("piece", F.lit(0)).alias("piece"), "node", F.struct("run_id", "n_steps").alias("run"), F.coalesce("waveform", empty).alias("waveform"))
+    return as_nested_json(rows, ["source_id", "piece"], ["source_id", "node", "run", "waveform"])
+
+
 @query()
 def network_ir_drop(t: Tables) -> DataFrame:
     """Every design's network solved: resistors in kOhm, loads in mA, so drops are in V; nodes of floating islands are left out."""

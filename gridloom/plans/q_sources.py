@@ -195,3 +195,35 @@ SELECT block, CAST(pattern AS INTEGER) AS pattern, node, 1.0::DOUBLE * weight /
 def block_injections(t: Tables) -> DataFrame:
     nodes = t.part.select(F.expr("p_partkey % 50 div 10").alias("block"), F.col("p_partkey").alias("node"))
     return synthetic.block_patterns(nodes, 3, 1.0)
+
+
+_PLACED = """s AS (SELECT node_id AS grid_id, CAST(4 + node_id % 5 AS INTEGER) AS n0 FROM grid_nodes WHERE is_pad),
+  n AS (SELECT grid_id, n0, l, CAST(ceil(n0 / power(2, l)) AS INTEGER) AS n FROM s, (SELECT unnest(range(3)) AS l)),
+  i AS (SELECT grid_id, l, n, unnest(range(n)) AS i FROM n), st AS (SELECT grid_id, l, n, i, (2 * i + 1) * 500000 // n AS pos FROM i),
+  met AS (SELECT a.grid_id, a.l, a.pos AS across, b.l AS m, b.pos AS along FROM st a JOIN st b ON b.grid_id = a.grid_id AND abs(b.l - a.l) = 1),
+  k AS (SELECT grid_id, unnest(range(8)) AS k FROM s), lim AS (SELECT grid_id, min(pos) AS lo, max(pos) AS hi FROM st WHERE l = 1 GROUP BY 1),
+  ld AS (SELECT k.grid_id, (2 * ((k * 7919 + k.grid_id * 31) % n) + 1) * 500000 // n AS across, lo + (k * 104729 + k.grid_id * 613) % (hi - lo + 1) AS along FROM k JOIN n ON n.grid_id = k.grid_id AND n.l = 0 JOIN lim ON lim.grid_id = k.grid_id),
+  pt AS (SELECT grid_id, l, across, along FROM met UNION SELECT grid_id, 0, across, along FROM ld),
+  sg AS (SELECT *, lead(along) OVER (PARTITION BY grid_id, l, across ORDER BY along) AS t FROM pt),
+  e2 AS (SELECT grid_id, n, unnest(range(least(4, 2 * n))) AS k FROM n WHERE l = 2), e3 AS (SELECT grid_id, n, k * 2 * n // least(4, 2 * n) AS e FROM e2),
+  pd AS (SELECT DISTINCT e3.grid_id, (2 * (e // 2) + 1) * 500000 // n AS across, CASE WHEN e % 2 = 0 THEN lo ELSE hi END AS along FROM e3 JOIN lim USING (grid_id))"""
+
+
+def _place_name(level: str, across: str, along: str) -> str:
+    return f"CASE WHEN {level} % 2 = 0 THEN {along} || '_' || {across} ELSE {across} || '_' || {along} END || '_M' || ({level} + 1)"
+
+
+@query(f"""WITH {_PLACED} SELECT grid_id, 'VIA' AS kind, {_place_name('l', 'across', 'along')} AS u, {_place_name('m', 'along', 'across')} AS v, 0.1::DOUBLE AS value FROM met WHERE m > l
+UNION ALL SELECT grid_id, 'R', {_place_name('l', 'across', 'along')}, {_place_name('l', 'across', 't')}, round((1.0::DOUBLE / power(2, l)) * (t - along) / 1e6::DOUBLE, 12) FROM sg WHERE t IS NOT NULL
+UNION ALL SELECT grid_id, 'I', {_place_name('0', 'across', 'along')}, '0', 0.001::DOUBLE FROM ld UNION ALL SELECT grid_id, 'V', {_place_name('2', 'across', 'along')}, '0', 1.0::DOUBLE FROM pd""")
+def synthetic_power_grid(t: Tables) -> DataFrame:
+    """A whole grid of three layers for each pad, with pads, vias, and loads spliced into its lowest stripes."""
+    specs = t.grid_nodes.filter("is_pad").select(F.col("node_id").alias("grid_id"), (4 + F.col("node_id") % 5).cast("int").alias("n0"))
+    return synthetic.power_grid(specs).withColumn("value", F.round("value", 12))
+
+
+@query("""WITH p AS (SELECT node_id AS key, row_number() OVER (ORDER BY (node_id * 7919 + 13) % 10007, node_id) AS k, count(*) OVER () AS n FROM grid_nodes WHERE x BETWEEN 1000 AND 60000 AND y BETWEEN 0 AND 50000)
+SELECT key, (12.0::DOUBLE / 0.75::DOUBLE) / least(n, 1000) AS amps FROM p WHERE k <= 1000""")
+def stimulus_count_in_area(t: Tables) -> DataFrame:
+    """A thousand nodes of a window, picked by hash, share the current evenly."""
+    return synthetic.counted_stimulus(t.grid_nodes.select(F.col("node_id").alias("key"), "x", "y"), 12.0, 0.75, 1000, (1000, 60000, 0, 50000))

@@ -17,6 +17,11 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("json"))
 
 
+def as_nested_json(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The keys and one JSON object of the named fields for each row; structs and arrays nest, missing values are written as null."""
+    return rows.select(*keys, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Parquet, partitioned by the given columns; rows of one partition are brought together first, so each gets few files."""
     out = rows.repartition(*by) if by else rows

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..operators.running import running
+
+#: Length and width of a synthetic grid, in whole units of place.
+EXTENT = 1_000_000
 
 
 def layered_grid(specs: DataFrame, layers: int = 3) -> DataFrame:
@@ -26,6 +31,70 @@ def layered_grid(specs: DataFrame, layers: int = 3) -> DataFrame:
     return edges
 
 
+def power_grid(specs: DataFrame, layers: int = 3, stripe_ohm: float = 1.0, via_ohm: float = 0.1, pads: int = 4, loads: int = 8, volt: float = 1.0, amps: float = 0.001) -> DataFrame:
+    """Whole layered grids: grid_id, kind (``R`` stripe, ``VIA``, ``V`` pad, ``I`` load), u, v, value; nodes are named by place, ``X_Y_Ml``.
+
+    ``specs``: grid_id, n0. Layer l has ceil(n0 / 2^l) evenly spaced stripes, horizontal where l is even; a stripe has
+    ``stripe_ohm`` / 2^l from edge to edge and runs between its outermost crossings. Stripes of neighbouring layers
+    cross at vias. Pads sit on stripe ends of the top layer, spread evenly; where it has fewer ends, each has one.
+    Loads are spliced into stripes of layer 0, at places that follow from grid and load alone, so no shuffle is needed
+    to choose them; loads at one place are elements of one node. A grid without stripes gives no rows.
+    """
+    if layers < 2:
+        raise ValueError("a grid has two layers or more")
+    grids = specs.filter("n0 > 0")
+    half = EXTENT // 2
+    count = lambda l: F.ceil(F.col("n0") / F.lit(2**l)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda i, l: F.floor((2 * i + 1) * F.lit(half) / count(l)).cast("int")
+    name = lambda l, across, along: F.concat_ws("_", *((along, across) if l % 2 == 0 else (across, along)), F.lit(f"M{l + 1}"))
+    spread = lambda key, a, b, n: F.pmod(F.col(key) * a + F.col("grid_id") * b, n)
+    first, last = place(F.lit(0), 1), place(count(1) - 1, 1)
+    spliced = grids.select("*", F.explode(F.sequence(F.lit(0), F.lit(loads - 1))).alias("k")) if loads else None
+    if loads:
+        spliced = spliced.select("grid_id", place(spread("k", 7919, 31, count(0)), 0).alias("across"), (first + spread("k", 104729, 613, last - first + 1)).cast("int").alias("along"))
+    out = None
+    for level in range(layers):
+        near = [m for m in (level - 1, level + 1) if 0 <= m < layers]
+        stripes = grids.select("grid_id", "n0", numbers(count(level)).alias("i"))
+        at = None
+        for m in near:
+            met = stripes.select("grid_id", "n0", place(F.col("i"), level).alias("across"), numbers(count(m)).alias("j")).select("grid_id", "across", place(F.col("j"), m).alias("along"))
+            at = met if at is None else at.unionByName(met)
+            if m > level:
+                via = met.select("grid_id", F.lit("VIA").alias("kind"), name(level, F.col("across"), F.col("along")).alias("u"), name(m, F.col("along"), F.col("across")).alias("v"), F.lit(via_ohm).alias("value"))
+                out = via if out is None else out.unionByName(via)
+        if level == 0 and loads:
+            at = at.unionByName(spliced)
+        order = Window.partitionBy("grid_id", "across").orderBy("along")
+        parts = at.distinct().withColumn("to", F.lead("along").over(order)).filter("to IS NOT NULL")
+        ohm = F.lit(stripe_ohm / 2**level) * (F.col("to") - F.col("along")) / F.lit(float(EXTENT))
+        out = out.unionByName(parts.select("grid_id", F.lit("R").alias("kind"), name(level, F.col("across"), F.col("along")).alias("u"), name(level, F.col("across"), F.col("to")).alias("v"), ohm.alias("value")))
+    if loads:
+        out = out.unionByName(spliced.select("grid_id", F.lit("I").alias("kind"), name(0, F.col("across"), F.col("along")).alias("u"), F.lit("0").alias("v"), F.lit(amps).alias("value")))
+    top = layers - 1
+    ends = 2 * count(top)
+    chosen = grids.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(pads), ends) - 1)).alias("k")).withColumn("e", F.floor(F.col("k") * ends / F.least(F.lit(pads), ends)).cast("int"))
+    side = F.when(F.col("e") % 2 == 0, place(F.lit(0), top - 1)).otherwise(place(count(top - 1) - 1, top - 1))
+    pad = chosen.select("grid_id", F.lit("V").alias("kind"), name(top, place(F.floor(F.col("e") / 2).cast("int"), top), side).alias("u"), F.lit("0").alias("v"), F.lit(volt).alias("value")).distinct()
+    return out.unionByName(pad)
+
+
+def counted_stimulus(loads: DataFrame, total_power: float, vdd: float, count: int, window: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """key, amps: power / vdd split evenly over ``count`` loads, the first in the order of a hash of their key; fewer if there are fewer.
+
+    ``loads``: key (unique), and x, y where a ``window`` (x0, x1, y0, y1, edges included) limits the choice; loads
+    without a place lie in no window. The order is made in pieces, so any count is spread over tasks.
+    """
+    rows = loads
+    if window:
+        x0, x1, y0, y1 = window
+        rows = rows.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    rows = rows.select("key", F.pmod(F.col("key") * 7919 + 13, F.lit(10_007)).alias("_h"))
+    ranked = running(rows, [], [F.asc("_h"), F.asc("key")]).filter(F.col("rank") <= count)
+    return ranked.select("key", (F.lit(total_power / vdd) / F.least("group_rows", F.lit(count))).alias("amps"))
+
+
 def uniform_stimulus(loads: DataFrame, total_power: float, vdd: float, percent: int) -> DataFrame:
     """A share of the loads, picked by a hash of their key so that the pick is the same in every run; power / vdd is split evenly."""
     picked = loads.filter(F.pmod(F.col("key") * 7919 + 13, F.lit(100)) < percent)

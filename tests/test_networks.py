@@ -168,3 +168,23 @@ def test_as_of_and_nearest(spark):
     values, targets = [3.0, 7.0, 7.0, 50.0, 91.0], list(range(-20, 120, 5))
     near = tr.nearest_value(spark.createDataFrame([(v,) for v in values], "x double"), spark.createDataFrame([(i, float(t)) for i, t in enumerate(targets)], "k int, x double"), "k", "x", 10.0)
     assert {x.k: x.nearest for x in near.collect()} == {i: min(values, key=lambda v: (abs(v - t), v)) for i, t in enumerate(targets)}
+
+
+def test_hierarchical_with_a_deep_bottom(spark):
+    rows = [("a", "p", 1, 2, 0), ("b", "a", 2, 3, 1), ("c", "b", 3, 1, 4), ("d", "c", 4, 5, 2), ("e", "c", 4, 1, 7), ("f", "a", 2, 1, 9)]
+    edges = spark.createDataFrame(rows, "node string, parent string, level int, r long, amps long")
+    want = {tuple(r) for r in tr.solve_tree(edges, 4).select("node", "drop").collect()}
+    for split in (1, 2, 3):
+        assert {tuple(r) for r in so.hierarchical(edges, split, 4).select("node", "drop").collect()} == want
+
+
+def test_schur_product_of_stars(spark):
+    rng = np.random.default_rng(5)
+    stars = [(b, p, float(rng.integers(1, 9))) for b in range(3) for p in range(b + 1)]
+    given = [(b, p, float(rng.normal())) for b, p, _ in stars if (b, p) != (2, 1)]
+    got = {(r.block, r.port): r.y for r in so.schur_product(spark.createDataFrame(stars, "block int, port int, g double"), spark.createDataFrame(given, "block int, port int, x double")).collect()}
+    for b in range(3):
+        g = np.array([s[2] for s in stars if s[0] == b])
+        x = np.array([dict(((k[0], k[1]), k[2]) for k in given).get((b, p), 0.0) for p in range(b + 1)])
+        want = (np.diag(g) - np.outer(g, g) / g.sum()) @ x
+        assert np.allclose([got[b, p] for p in range(b + 1)], want)

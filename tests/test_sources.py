@@ -99,3 +99,52 @@ def test_write_table(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, i) for i in range(30)], "k int, v int")
     sinks.write_table(rows, str(tmp_path / "t"), ["k"])
     assert spark.read.parquet(str(tmp_path / "t")).filter("k = 1").count() == 10
+
+
+def test_power_grid(spark):
+    specs = spark.createDataFrame([(1, 4), (2, 1), (3, 0), (4, None), (5, 9)], "grid_id long, n0 int")
+    rows = synthetic.power_grid(specs, 3, 2.0, 0.1, 3, 5, 0.8, 0.01).collect()
+    assert {r.grid_id for r in rows} == {1, 2, 5}
+    for grid in (1, 5):
+        own = [r for r in rows if r.grid_id == grid]
+        kinds = {k: [r for r in own if r.kind == k] for k in ("R", "VIA", "I", "V")}
+        n = [-(-{1: 4, 5: 9}[grid] // 2**k) for k in range(3)]
+        assert len(kinds["VIA"]) == n[0] * n[1] + n[1] * n[2] and len(kinds["I"]) == 5 and len(kinds["V"]) == min(3, 2 * n[2])
+        wired = {x for r in kinds["R"] + kinds["VIA"] for x in (r.u, r.v)}
+        assert {r.u for r in kinds["I"] + kinds["V"]} <= wired
+        root = {x: x for x in wired}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in kinds["R"] + kinds["VIA"]:
+            root[top(r.u)] = top(r.v)
+        assert len({top(x) for x in wired}) == 1  # everything hangs together
+        # Splicing changes no stripe as a whole: layer 0 spans the outermost of its crossings.
+        ohms = {}
+        for r in kinds["R"]:
+            if r.u.endswith("M1"):
+                y = r.u.split("_")[1]
+                ohms[y] = ohms.get(y, 0) + r.value
+        assert all(abs(x - 2.0 * (1 - 1 / n[1])) < 1e-5 for x in ohms.values()) and len(ohms) == n[0]
+    assert synthetic.power_grid(specs, loads=0).filter("kind = 'I'").count() == 0
+    with pytest.raises(ValueError):
+        synthetic.power_grid(specs, 1)
+
+
+def test_counted_stimulus(spark):
+    loads = spark.createDataFrame([(k, float(k % 10), None if k % 7 == 0 else float(k % 3)) for k in range(100)], "key long, x double, y double")
+    got = synthetic.counted_stimulus(loads, 6.0, 0.5, 12).collect()
+    want = sorted(range(100), key=lambda k: ((k * 7919 + 13) % 10_007, k))[:12]
+    assert {r.key for r in got} == set(want) and all(r.amps == 1.0 for r in got)
+    few = synthetic.counted_stimulus(loads, 6.0, 0.5, 1000, (0, 2, 0, 1)).collect()
+    inside = [k for k in range(100) if k % 10 <= 2 and k % 7 and k % 3 <= 1]
+    assert {r.key for r in few} == set(inside) and abs(sum(r.amps for r in few) - 12.0) < 1e-9
+    assert synthetic.counted_stimulus(loads.limit(0), 6.0, 0.5, 5).count() == 0
+
+
+def test_nested_json(spark):
+    rows = spark.sql("SELECT 1 AS k, named_struct('a', CAST(NULL AS INT), 'b', array(1, NULL)) AS x, '\"' AS s")
+    assert sinks.as_nested_json(rows, ["k"], ["x", "s"]).first().json == '{"x":{"a":null,"b":[1,null]},"s":"\\""}'
