@@ -27,8 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         lower = labels.join(told, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
         moved = lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "was")
-        new = scratch.write(moved)
-        changed = new.filter("component <> was").limit(1).count()
+        new, (changed,) = scratch.write_and_sum(moved, F.count(F.when(F.col("component") != F.col("was"), 1)))
         scratch.drop(labels)
         labels = new.drop("was")
         if not changed:
@@ -67,9 +66,10 @@ def nearest_ports(edges: DataFrame, ports: DataFrame, k: int, r_max: float, max_
         sent = labels.filter("new = 1").select(F.col("node").alias("u"), "port", F.col("r").alias("d")).join(links, "u").select(F.col("v").alias("node"), "port", (F.col("d") + F.col("r")).alias("r"), F.lit(1).alias("new")).filter(F.col("r") <= r_max)
         # Of equal resistances the label that is there already counts, so it isn't passed on again.
         best = labels.withColumn("new", F.lit(0)).unionByName(sent).groupBy("node", "port").agg(F.min(F.struct("r", "new")).alias("x")).select("node", "port", "x.*")
-        last, labels = labels, scratch.write(best.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn"))
+        last = labels
+        labels, (lower,) = scratch.write_and_sum(best.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn"), F.sum("new"))
         scratch.drop(last)
-        if labels.filter("new = 1").isEmpty():
+        if not lower:
             return labels.drop("new")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 

@@ -61,6 +61,7 @@ def tiled(nodes: DataFrame, matrix: DataFrame, rhs: DataFrame, size: int, halo:
     inside = rows.filter("inside = 1").select("block", F.lit("g").alias("kind"), "i", "j", F.col("g").alias("value"))
     outside = rows.filter("inside IS NULL").select("block", "i", "j", "g")
     loads = members.join(rhs.select(F.col("node").cast("string").alias("node"), F.col("b").cast("double").alias("b")), "node").select("block", F.col("node").alias("i"), "b")
+    homes = members.select(F.col("home").alias("block"), "node").distinct()
     x = last = None
     for _ in range(sweeps):
         b = loads
@@ -69,9 +70,14 @@ def tiled(nodes: DataFrame, matrix: DataFrame, rhs: DataFrame, size: int, halo:
             b = loads.join(flow, ["block", "i"], "left").select("block", "i", (F.col("b") + F.coalesce("f", F.lit(0.0))).alias("b"))
         blocks = inside.unionByName(b.select("block", F.lit("b").alias("kind"), "i", F.col("i").alias("j"), F.col("b").alias("value")))
         solved = block_solve(blocks)
-        old, x = x, scratch.write(solved.join(members.select(F.col("home").alias("block"), "node").distinct(), ["block", "node"]).select("node", "x"))
-        if tolerance is not None and old is not None:
-            moved = x.join(old.withColumnRenamed("x", "_x"), "node").agg(F.max(F.abs(F.col("x") - F.col("_x")))).first()[0] or 0.0
+        cores = solved.join(homes, ["block", "node"]).select("node", "x")
+        if tolerance is None or x is None:
+            x = scratch.write(cores)
+        else:
+            both, (moved,) = scratch.write_and_sum(cores.join(x.withColumnRenamed("x", "_x"), "node"), F.max(F.abs(F.col("x") - F.col("_x"))))
+            scratch.drop(x)
+            x, moved = both.select("node", "x"), moved or 0.0
+            x._scratch_path = both._scratch_path
             # Errors shrink by a nearly constant share a sweep, so what is left is the sum of the changes to come.
             share = moved / last if last else 1.0
             if moved == 0 or share < 1 and moved * share / (1 - share) <= tolerance:
