@@ -185,13 +185,18 @@ def knn_ports(t: Tables) -> DataFrame:
 @query(f"""WITH {LATTICE}, w AS (SELECT node, x - 1500 AS x0, x + 1500 AS x1, y - 1500 AS y0, y + 1500 AS y1 FROM lattice)
 SELECT a.node AS a, b.node AS b FROM w a JOIN w b ON a.node < b.node AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
 def overlapping_windows(t: Tables) -> DataFrame:
-    """Pairs of windows that overlap or touch; windows meet in cells of their own size."""
+    """Pairs of windows that overlap or touch; windows meet in cells of their own size.
+
+    A window is copied to its own cell and to four of the eight around it, so two cells meet once. The copies are
+    joined by a merge: Spark takes their size for that of the rows before them, and would broadcast any number of them.
+    """
     w = lattice(t).select("node", "x", "y")
     cell = lambda c, d: F.floor(F.col(c) / 3000) + d
-    near = F.sequence(F.lit(-1), F.lit(1))
     left = w.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))
-    right = w.select("*", F.explode(near).alias("i")).select("*", F.explode(near).alias("j")).select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x", F.col("i")).alias("cx"), cell("y", F.col("j")).alias("cy"))
-    return left.join(right, ["cx", "cy"]).filter("a < b AND abs(ax - bx) <= 3000 AND abs(ay - by) <= 3000").select("a", "b")
+    copies = w.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i")).select("*", F.explode(F.sequence(-F.col("i"), F.lit(1))).alias("j"))
+    right = copies.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x", F.col("i")).alias("cx"), cell("y", F.col("j")).alias("cy"), F.expr("i = 0 AND j = 0").alias("own"))
+    met = left.join(right.hint("merge"), ["cx", "cy"]).filter("(a < b OR NOT own) AND abs(ax - bx) <= 3000 AND abs(ay - by) <= 3000")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 _WAVE = "w AS (SELECT DISTINCT ON (user_id, (epoch_us(ts) // 1000000)) user_id, (epoch_us(ts) // 1000000) AS s, value FROM events ORDER BY user_id, (epoch_us(ts) // 1000000), event_id)"
